@@ -1,11 +1,15 @@
 """Queries of this subpackage and their SQL."""
 
-from . import exact_dedup
+from . import exact_dedup, mixing, toxicity
 
 
 def queries() -> dict:
-    return {"op1_exact_dedup": exact_dedup.op1_exact_dedup}
+    return {
+        "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+        "op9_mixing": mixing.op9_mixing,
+        "op10_toxicity": toxicity.op10_toxicity,
+    }
 
 
 def oracle_sql() -> dict:
-    return {"op1_exact_dedup": exact_dedup.SQL}
+    return {"op1_exact_dedup": exact_dedup.SQL, "op9_mixing": mixing.SQL}

@@ -1,11 +1,14 @@
 """Queries of this subpackage and their SQL."""
 
-from . import exact_dedup, mixing, toxicity
+from . import exact_dedup, media, mixing, secret_scan, simhash, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+        "op3_simhash": simhash.op3_simhash,
+        "op5_media": media.op5_media,
+        "op6_secrets": secret_scan.op6_secrets,
         "op9_mixing": mixing.op9_mixing,
         "op10_toxicity": toxicity.op10_toxicity,
     }

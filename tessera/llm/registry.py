@@ -1,12 +1,13 @@
 """Queries of this subpackage and their SQL."""
 
-from . import exact_dedup, media, mixing, secret_scan, simhash, toxicity
+from . import class_lm, exact_dedup, media, mixing, secret_scan, simhash, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_exact_dedup": exact_dedup.op1_exact_dedup,
         "op3_simhash": simhash.op3_simhash,
+        "op4_class_lm": class_lm.op4_class_lm,
         "op5_media": media.op5_media,
         "op6_secrets": secret_scan.op6_secrets,
         "op9_mixing": mixing.op9_mixing,

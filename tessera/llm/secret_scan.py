@@ -127,7 +127,7 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner: C
     met = met.withColumn("live", live).filter("kind < 3 OR live")
     # one group is one document's spans
     one = F.struct("start", "kind", "stop", "live")
-    met = met.groupBy("row").agg(F.array_sort(F.collect_list(one)).alias("s"), F.count_if("live").alias("n_live"), F.count_if(~F.col("live")).alias("n_example"))
+    met = met.groupBy("row").agg(F.array_sort(F.collect_list(one)).alias("s"), F.count_if(F.col("live")).alias("n_live"), F.count_if(~F.col("live")).alias("n_example"))
     kinds = F.array(*map(F.lit, KINDS))
     text = lambda x: F.concat_ws(":", F.element_at(kinds, x["kind"] + 1), x["start"], x["stop"])
     met = met.select("row", "n_live", "n_example", F.array_join(F.transform("s", text), ",").alias("spans"), F.array_join(F.transform("s", lambda x: F.when(x["live"], "live").otherwise("example")), ",").alias("classes"))

@@ -1,6 +1,6 @@
 """Queries of this subpackage and their SQL."""
 
-from . import class_lm, exact_dedup, media, mixing, secret_scan, simhash, toxicity
+from . import class_lm, exact_dedup, line_dedup, media, mixing, secret_scan, simhash, toxicity
 
 
 def queries() -> dict:
@@ -10,10 +10,11 @@ def queries() -> dict:
         "op4_class_lm": class_lm.op4_class_lm,
         "op5_media": media.op5_media,
         "op6_secrets": secret_scan.op6_secrets,
+        "op7_line_dedup": line_dedup.op7_line_dedup,
         "op9_mixing": mixing.op9_mixing,
         "op10_toxicity": toxicity.op10_toxicity,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op1_exact_dedup": exact_dedup.SQL, "op9_mixing": mixing.SQL}
+    return {"op1_exact_dedup": exact_dedup.SQL, "op7_line_dedup": line_dedup.SQL, "op9_mixing": mixing.SQL}

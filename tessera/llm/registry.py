@@ -1,6 +1,6 @@
 """Queries of this subpackage and their SQL."""
 
-from . import class_lm, exact_dedup, line_dedup, media, mixing, secret_scan, simhash, toxicity
+from . import class_lm, exact_dedup, line_dedup, media, mixing, secret_scan, simhash, suffix_dedup, toxicity
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op5_media": media.op5_media,
         "op6_secrets": secret_scan.op6_secrets,
         "op7_line_dedup": line_dedup.op7_line_dedup,
+        "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
         "op9_mixing": mixing.op9_mixing,
         "op10_toxicity": toxicity.op10_toxicity,
     }

@@ -1,11 +1,12 @@
 """Queries of this subpackage and their SQL."""
 
-from . import class_lm, exact_dedup, line_dedup, media, mixing, secret_scan, simhash, suffix_dedup, toxicity
+from . import class_lm, exact_dedup, line_dedup, media, mixing, pieces, secret_scan, simhash, suffix_dedup, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+        "op2_pieces": pieces.op2_pieces,
         "op3_simhash": simhash.op3_simhash,
         "op4_class_lm": class_lm.op4_class_lm,
         "op5_media": media.op5_media,

@@ -48,9 +48,9 @@ def _spread(docs: DataFrame) -> DataFrame:
     return docs.repartition(n) if docs.rdd.getNumPartitions() < n else docs
 
 
-def bm25_search(spark, sf, terms=TERMS, k=10, where=F.col("active")):
+def bm25_search(spark, sf, terms=TERMS, k=10, where="active"):
     docs = _spread(_docs(spark, sf).select("chunk_id", "collection", "path", "active", "text"))
-    return bm25.search(docs, list(terms), k, where)
+    return bm25.search(docs, list(terms), k, F.expr(where))
 
 
 def bm25_topk(spark, sf):
@@ -58,7 +58,7 @@ def bm25_topk(spark, sf):
 
 
 def bm25_collection(spark, sf):
-    return bm25_search(spark, sf, where=F.col("active") & (F.col("collection") == "src1")).select("chunk_id", "collection", "score")
+    return bm25_search(spark, sf, where="active AND collection = 'src1'").select("chunk_id", "collection", "score")
 
 
 def bm25_dup_terms(spark, sf):

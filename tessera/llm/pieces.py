@@ -1,6 +1,6 @@
 """SentencePiece encoding and decoding by a relational lattice.
 
-Text is cut into *units* no piece crosses: spaces with the word after them, and line feeds. The distinct units go through
+Text is cut into *units* no piece crosses: letters, or other characters, with the spaces before them, and line feeds. The distinct units go through
 a lattice on the cluster: their substrings of up to the longest piece are exploded, equi-joined to the piece table (its
 size is the model's), grouped by unit again, and a higher-order ``aggregate`` folds Viterbi's table over the positions.
 
@@ -57,12 +57,19 @@ class Model:
     text_of: list[bytes | None]  # by id; None: no text
     longest: int = 0
     pairs: set[str] = field(default_factory=set)
+    pattern: re.Pattern | None = None
+
+    @property
+    def cut(self) -> tuple[re.Pattern, set[str]]:
+        return self.pattern, self.pairs
 
     def __post_init__(self):
         self.longest = max(map(len, self.rank))
         self.pairs = {p[i : i + 2] for p in self.rank for i in range(len(p) - 1)}
-        if any(SPACE in p.lstrip(SPACE) or "\n" in p for p in self.rank):
-            raise ValueError("the model has pieces across words")
+        odd = "".join(sorted({c for p in self.rank for c in p if c.isalnum() and not c.isalpha() and not re.match(r"\d", c)}))
+        self.pattern = _unit_pattern(odd)
+        if any(SPACE in p.lstrip(SPACE) or len(self.pattern.findall(p)) > 1 for p in self.rank):
+            raise ValueError("the model has pieces across units")
 
 
 def load(path: str = MODEL) -> Model:
@@ -114,13 +121,18 @@ def piece_table(spark: SparkSession, model: Model) -> DataFrame:
     return spark.createDataFrame(rows, "piece string, id int, r int, ls array<int>, rs array<int>")
 
 
-_UNIT = re.compile(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n")
+def _unit_pattern(odd: str) -> re.Pattern:
+    """Letters, or everything else but spaces and line feeds, each with the spaces before it. odd: numbers that the pattern for letters would take in."""
+    odd = re.escape(odd)
+    return re.compile(f"{SPACE}*[^\\W\\d_{odd}]+|{SPACE}*(?:[^\\w{SPACE}\n]|[\\d_{odd}])+|{SPACE}+|\n")
 
 
-def units_of(text: str | None, pairs: set[str]) -> list[str]:
+def units_of(text: str | None, cut: tuple[re.Pattern, set[str]]) -> list[str]:
+    """cut: the model's pattern of units, and its pairs of characters."""
     if not text:
         return []
-    found = _UNIT.findall(SPACE + text.replace(" ", SPACE))
+    pattern, pairs = cut
+    found = pattern.findall(SPACE + text.replace(" ", SPACE))
     if max(map(len, found)) <= LONG:
         return found
     out = []
@@ -139,10 +151,10 @@ def units_of(text: str | None, pairs: set[str]) -> list[str]:
 
 def unit_counts(texts: DataFrame, model: Model) -> DataFrame:
     """texts (text) -> (unit, c)."""
-    shared = texts.sparkSession.sparkContext.broadcast(model.pairs)
+    shared = texts.sparkSession.sparkContext.broadcast(model.cut)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs, counts = shared.value, Counter()
+        cut, counts = shared.value, Counter()
 
         def flushed() -> pa.RecordBatch:
             out = pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], names=["unit", "n"])
@@ -151,7 +163,7 @@ def unit_counts(texts: DataFrame, model: Model) -> DataFrame:
 
         for batch in batches:
             for x in batch.column(0):
-                counts.update(units_of(x.as_py(), pairs))
+                counts.update(units_of(x.as_py(), cut))
                 if len(counts) > 250_000:
                     yield flushed()
         if counts:
@@ -162,22 +174,25 @@ def unit_counts(texts: DataFrame, model: Model) -> DataFrame:
 
 def lattice(units: DataFrame, pieces: DataFrame, model: Model) -> DataFrame:
     """units (unit, ...) partitioned by unit -> (unit, ids)."""
-    n = f"least({model.longest}, length(unit) - a)"
-    substrings = F.expr(f"flatten(transform(sequence(0, length(unit) - 1), a -> transform(sequence(1, {n}), k -> struct(a AS a, a + k AS b, substring(unit, a + 1, k) AS piece))))")
-    edges = units.select("unit", F.explode(substrings).alias("s")).select("unit", "s.*")
+    edges = units.select("unit", F.explode(F.expr("sequence(0, length(unit) - 1)")).alias("a"))
+    edges = edges.select("unit", "a", F.explode(F.expr(f"sequence(a + 1, least(a + {model.longest}, length(unit)))")).alias("b"))
+    edges = edges.withColumn("piece", F.expr("substring(unit, a + 1, b - a)"))
     edges = edges.join(F.broadcast(pieces), "piece", "left").filter("id IS NOT NULL OR b = a + 1")
-    # a character that is no piece is an edge that nothing merges with
-    edge = F.expr(f"struct(a, b, coalesce(id, -1) AS id, coalesce(r, {NEVER}) AS r, coalesce(ls, array(-1, {NEVER})) AS ls, coalesce(rs, array(-1, {NEVER})) AS rs)")
-    words = edges.groupBy("unit").agg(F.collect_list(edge).alias("edges"))
-    across = "c.a < e.a AND c.b > e.a AND c.r < coalesce(get(get(acc, e.a).rs, e.a - c.a), -1) AND c.r <= coalesce(get(e.ls, c.b - e.a), -1)"
-    fits = f"e.b = i AND get(acc, e.a) IS NOT NULL AND NOT exists(edges, c -> {across})"
-    start = "array(struct(-1 AS a, 0 AS b, -1 AS id, 0 AS r, array(0) AS ls, array(0) AS rs))"
-    table = words.select("unit", F.expr(f"aggregate(sequence(1, length(unit)), {start}, (acc, i) -> array_append(acc, get(filter(edges, e -> {fits}), 0)))").alias("best"))
-    # back from the end along the best edges
-    path = "aggregate(sequence(1, length(unit)), struct(length(unit) AS at, cast(array() AS array<struct<a:int,b:int,id:int>>) AS path), (s, i) -> if(s.at = 0, s, struct(get(best, s.at).a AS at, array_append(s.path, struct(get(best, s.at).a AS a, get(best, s.at).b AS b, get(best, s.at).id AS id)) AS path)), s -> reverse(s.path))"
+    # a character that is no piece is an edge that nothing merges with, and its ids are those of its bytes
     byte_ids = ", ".join(map(str, model.byte_ids))
-    ids = f"flatten(transform(path, e -> if(e.id >= 0, array(e.id), transform(sequence(1, octet_length(substring(unit, e.a + 1, e.b - e.a))), k -> element_at(array({byte_ids}), 1 + cast(conv(substring(hex(substring(unit, e.a + 1, e.b - e.a)), 2 * k - 1, 2), 16, 10) AS int))))))"
-    return table.withColumn("path", F.expr(path)).select("unit", F.expr(ids).alias("ids"))
+    of_bytes = f"transform(sequence(1, octet_length(piece)), k -> element_at(array({byte_ids}), 1 + cast(conv(substring(hex(piece), 2 * k - 1, 2), 16, 10) AS int)))"
+    edge = F.expr(f"struct(b, a, coalesce(r, {NEVER}) AS r, coalesce(ls, array(-1, {NEVER})) AS ls, coalesce(rs, array(-1, {NEVER})) AS rs, if(id IS NULL, {of_bytes}, array(id)) AS ids)")
+    words = edges.groupBy("unit").agg(F.array_sort(F.collect_list(edge)).alias("edges"))
+    # acc: for each position, the ids of the prefix's encoding and the right edge of its last piece
+    across = "c.a < e.a AND c.b > e.a AND c.r < coalesce(get(get(acc, e.a).rs, e.a - c.a), -1) AND c.r <= coalesce(get(e.ls, c.b - e.a), -1)"
+    fits = f"get(acc, e.a) IS NOT NULL AND (e.a = 0 OR NOT exists(edges, c -> {across}))"
+    kind = "struct<ids:array<int>,rs:array<int>>"
+    start = f"array(cast(struct(array(), array(0)) AS {kind}))"
+    # edges come by their end; positions that no piece ends at stay null
+    padded = f"if(size(acc) < e.b, concat(acc, array_repeat(cast(null AS {kind}), e.b - size(acc))), acc)"
+    step = f"CASE WHEN size(acc) > e.b THEN acc WHEN {fits} THEN array_append({padded}, struct(concat(get(acc, e.a).ids, e.ids) AS ids, e.rs AS rs)) ELSE acc END"
+    table = f"aggregate(edges, {start}, (acc, e) -> {step}, acc -> element_at(acc, -1).ids)"
+    return words.select("unit", F.expr(table).alias("ids"))
 
 
 @dataclass
@@ -221,12 +236,12 @@ def dictionary(table: DataFrame, most: int = KNOWN) -> Dictionary:
 class _Lookup:
     """Ids (bytes of int32) of a text's units, remembered from text to text."""
 
-    def __init__(self, known: Dictionary, pairs: set[str], room: int = 200_000):
-        self.known, self.pairs, self.room, self.memo = known, pairs, room, {}
+    def __init__(self, known: Dictionary, cut: tuple, room: int = 200_000):
+        self.known, self.cut, self.room, self.memo = known, cut, room, {}
 
     def __call__(self, text: str | None, more: dict[str, bytes] | None = None) -> tuple[list[bytes], list[str]]:
         """The ids, and the units that neither the dictionary nor ``more`` has."""
-        units = units_of(text, self.pairs)
+        units = units_of(text, self.cut)
         lacking = list({u for u in units if u not in self.memo})
         if len(self.memo) > self.room:
             self.memo, lacking = {}, list(set(units))
@@ -262,7 +277,7 @@ def encode(df: DataFrame, text_col: str = "text", out_col: str = "ids", model: M
     keep = [c for c in df.columns if c != out_col or c == text_col]
     base = df.select(df[text_col].cast("string").alias("text"), F.struct(*[df[c] for c in keep]).alias("row"))
     words = dictionary(units.join(encoded, "unit") if n > known else encoded.withColumn("c", F.lit(1)), known)
-    shared = spark.sparkContext.broadcast((words, model.pairs))
+    shared = spark.sparkContext.broadcast((words, model.cut))
     row_type = base.schema["row"].dataType.simpleString()
     key = F.xxhash64(F.col("text"))
 

@@ -158,8 +158,8 @@ def exchange(pairs: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) ->
     weight = pairs.sum(1) + pairs.sum(0)
     order = [t for t in np.argsort(-weight, kind="stable").tolist() if t]
     of = np.zeros(n_types, np.int64)
-    for k, t in enumerate(order):
-        of[t] = 1 + k % (classes - 1)
+    # a random start (the same one each time): from an even one, no single move may gain
+    of[order] = 1 + np.random.default_rng(0).integers(0, classes - 1, len(order))
     one = np.zeros((n_types, classes))
     one[np.arange(n_types), of] = 1
     after = pairs @ one  # after[t, c]: t, then a type of c

@@ -504,14 +504,14 @@ def _write_image(out: Writer, pixels: np.ndarray, cache_bits: int = 0, main: boo
     out.put(1 if cache_bits else 0, 1)
     if cache_bits:
         out.put(cache_bits, 4)
-    group_at = lambda at: 0
+    group_at, n_groups = (lambda at: 0), 1
     if main:
         out.put(1 if tile else 0, 1)
         if tile:
             out.put(tile - 2, 3)
             groups = np.add.outer(np.arange(tiles(h, tile)), np.arange(tiles(w, tile))) % 2
             _write_image(out, (groups << 8).astype(np.uint32))
-            group_at = lambda at: int(groups[(at // w) >> tile, (at % w) >> tile])
+            group_at, n_groups = (lambda at: int(groups[(at // w) >> tile, (at % w) >> tile])), int(groups.max()) + 1
     cache = [0] * (1 << cache_bits)
     place = lambda p: ((HASH * p) & 0xFFFFFFFF) >> (32 - cache_bits)
     near = {max(1, x + y * w): k + 1 for k, (x, y) in reversed(list(enumerate(NEAR)))}
@@ -538,7 +538,7 @@ def _write_image(out: Writer, pixels: np.ndarray, cache_bits: int = 0, main: boo
                 cache[place(flat[i])] = flat[i]
         at += n
     sizes = (280 + (1 << cache_bits if cache_bits else 0), 256, 256, 256, 40)
-    counts = [[Counter() for _ in sizes] for _ in range(1 + bool(tile))]
+    counts = [[Counter() for _ in sizes] for _ in range(n_groups)]
     for g, parts, copy in tokens:
         for kind, s in parts[::2] if copy else parts:
             counts[g][kind][s] += 1

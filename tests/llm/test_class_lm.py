@@ -59,7 +59,7 @@ def test_classes_beat_the_base_on_held_out_text(spark):
     rows = [(i, " ".join(rng.choice(a if k % 2 else b) for k in range(60))) for i in range(150)]
     _, got = scored(spark.createDataFrame(rows, "doc_id long, text string"))
     held = [r for r in got if r["held_out"]]
-    assert sum(r["score"] for r in held) > 0.9 * sum(r["base_score"] for r in held) and len(held) > 5
+    assert sum(r["score"] for r in held) > 0.95 * sum(r["base_score"] for r in held) and len(held) > 5
 
 
 def test_probabilities_sum_to_one(spark):

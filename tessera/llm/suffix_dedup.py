@@ -272,14 +272,22 @@ def _earliest(pieces: DataFrame) -> DataFrame:
 
 
 def _sides(pieces: DataFrame) -> DataFrame:
-    """A row for each side of a piece's minimizer with SIDE bytes: side (hash of the minimizer with them)."""
-    left = F.when(F.col("place") >= SIDE, F.xxhash64(F.lit(0), F.substr("piece", F.col("place") + 1 - SIDE, F.lit(SIDE + GRAM))))
-    right = F.when(F.octet_length("piece") - F.col("place") - GRAM >= SIDE, F.xxhash64(F.lit(1), F.substr("piece", F.col("place") + 1, F.lit(SIDE + GRAM))))
-    return pieces.withColumn("side", F.explode(F.array_compact(F.array(left, right))))
+    """A row for each side of a piece's minimizer with SIDE bytes: side (hash of the minimizer with them), and the part of the piece whose windows have them."""
+    left = F.when(
+        F.col("place") >= SIDE,
+        F.struct(F.xxhash64(F.lit(0), F.substr("piece", F.col("place") + 1 - SIDE, F.lit(SIDE + GRAM))).alias("side"), F.lit(0).alias("cut"), (F.col("place") + LENGTH - SIDE).alias("n")),
+    )
+    cut = F.greatest(F.lit(0), F.col("place") + GRAM + SIDE - LENGTH)
+    right = F.when(
+        F.octet_length("piece") - F.col("place") - GRAM >= SIDE,
+        F.struct(F.xxhash64(F.lit(1), F.substr("piece", F.col("place") + 1, F.lit(SIDE + GRAM))).alias("side"), cut.alias("cut"), F.octet_length("piece").alias("n")),
+    )
+    out = pieces.select("no_id", "id", "key", "start", "piece", F.explode(F.array_compact(F.array(left, right))).alias("s"))
+    return out.select("no_id", "id", "key", (F.col("start") + F.col("s.cut")).alias("start"), F.substr("piece", F.col("s.cut") + 1, F.col("s.n") - F.col("s.cut")).alias("piece"), F.col("s.side").alias("side"))
 
 
 def shared_windows(strings: list[bytes], order: list[tuple]) -> list[tuple[int, int, int]]:
-    """(string, first, stop) of windows of ``strings`` that occur in one before it in ``order``; by a suffix array."""
+    """(string, first, stop) of windows of ``strings`` that occur earlier by ``order`` (document..., place of the string in it); by a suffix array."""
     lengths = np.array([len(s) for s in strings])
     joined = b"".join(strings)
     ends = np.cumsum(lengths + 1)
@@ -307,11 +315,11 @@ def shared_windows(strings: list[bytes], order: list[tuple]) -> list[tuple[int,
         for e in (1, 2, 3):
             same &= narrow[a + d + e] == narrow[b + d + e]
         equal[at] = same
-    # a piece may be here for both its sides, and has one rank
-    ranks = {o: k for k, o in enumerate(sorted(set(order)))}
-    rank = np.array([ranks[o] for o in order])
+    # by document and place in it: a piece may be here for both its sides, and a window of it is one window
+    ranks = {o: k for k, o in enumerate(sorted({o[:-1] for o in order}))}
+    place = np.array([(ranks[o[:-1]] << 32) + o[-1] for o in order]) - starts
     run = np.concatenate([[0], np.cumsum(~equal)])
-    of = rank[owner[sa]]
+    of = place[owner[sa]] + sa
     least = np.minimum.reduceat(of, np.flatnonzero(np.concatenate([[True], ~equal])))
     gone = sa[of > least[run]]
     gone.sort()
@@ -328,27 +336,46 @@ def _by_suffix_arrays(sided: DataFrame) -> DataFrame:
     id_type = sided.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, group, ready, size = None, [], [], 0
+        arrow_id = None
+        last, group = None, []
+        ready, size, gone = [], 0, []
 
         def found() -> pa.RecordBatch:
-            rows = [(ready[k], a, b) for k, a, b in shared_windows([r[4] for r in ready], [(r[0], 0 if r[0] else r[1], *r[2:4]) for r in ready])]
-            return pa.RecordBatch.from_arrays([pa.array([r[0][1] for r in rows], arrow_id), pa.array([r[0][2] for r in rows], pa.int64()), pa.array([r[0][3] + r[1] for r in rows], pa.int32()), pa.array([r[0][3] + r[2] for r in rows], pa.int32())], names=["id", "key", "start", "stop"])
+            if ready:
+                order = [(r[0], 0 if r[0] else r[1], r[2], r[3]) for r in ready]
+                gone.extend((*ready[k][1:3], ready[k][3] + a, ready[k][3] + b) for k, a, b in shared_windows([r[4] for r in ready], order))
+            kinds = (arrow_id, pa.int64(), pa.int32(), pa.int32())
+            out = pa.RecordBatch.from_arrays([pa.array([g[i] for g in gone], k) for i, k in enumerate(kinds)], names=["id", "key", "start", "stop"])
+            ready.clear()
+            gone.clear()
+            return out
+
+        def close() -> int:
+            """The group's pieces, equal ones once: of those the later ones go whole."""
+            if len(group) < 2:
+                return 0
+            first: dict[bytes, tuple] = {}
+            for row in sorted(group, key=lambda r: (r[0], 0 if r[0] else r[1], r[2], r[3])):
+                same = first.setdefault(row[4], row)
+                if same[:4] != row[:4]:
+                    gone.append((row[1], row[2], row[3], row[3] + len(row[4])))
+            if len(first) < 2:
+                return 0
+            ready.extend(first.values())
+            return sum(map(len, first))
 
         for batch in batches:
             arrow_id = batch.column(2).type
             for row in zip(*[c.to_pylist() for c in batch.columns]):
                 if row[0] != last:
-                    if len(group) > 1:
-                        ready += group
-                        size += sum(len(r[4]) for r in group)
-                        if size > BATCH:
-                            yield found()
-                            ready, size = [], 0
+                    size += close()
+                    if size > BATCH or len(gone) > 50_000:
+                        yield found()
+                        size = 0
                     last, group = row[0], []
                 group.append(row[1:])
-        if len(group) > 1:
-            ready += group
-        if ready:
+        close()
+        if ready or gone:
             yield found()
 
     return near.mapInArrow(run, f"id {id_type}, key bigint, start int, stop int")
@@ -356,10 +383,9 @@ def _by_suffix_arrays(sided: DataFrame) -> DataFrame:
 
 def _by_windows(sided: DataFrame) -> DataFrame:
     """The same, for sides with very many pieces: each window goes its own way."""
-    base = sided.select("no_id", "id", "key", "start", "piece").distinct()
-    windows = base.select("no_id", "id", "key", F.posexplode(F.transform(F.sequence(F.lit(1), F.octet_length("piece") - LENGTH + 1), lambda i: F.substr("piece", i, F.lit(LENGTH)))), "start")
+    windows = sided.select("no_id", "id", "key", F.posexplode(F.transform(F.sequence(F.lit(1), F.octet_length("piece") - LENGTH + 1), lambda i: F.substr("piece", i, F.lit(LENGTH)))), "start")
     windows = windows.select("no_id", "id", "key", (F.col("start") + F.col("pos")).alias("start"), F.col("col").alias("window"))
-    windows = C.written(windows.withColumn("w", F.sha2("window", 256)).drop("window"), "windows")
+    windows = C.written(windows.withColumn("w", F.sha2("window", 256)).drop("window").distinct(), "windows")
     firsts = windows.groupBy("w").agg(F.min(F.struct("no_id", "id", "key", "start")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     met = C.join_hot(windows, C.written(firsts, "firsts"), "w", "n", max(1, windows.count()))
     gone = met.filter(F.struct("no_id", "id", "key", "start") != F.col("first"))

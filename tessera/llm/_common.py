@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 BROADCAST_ROWS = 250_000
 
 _own_dir: list[str] = []
+_written: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,9 +32,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(T.StructType([T.StructField(f.name, f.dataType) for f in df.schema])).parquet(path)
 
 
+def forget(spark: SparkSession) -> int:
+    """Delete the tables written so far; results that were not stored yet can no longer be read. How many there were."""
+    n = len(_written)
+    for path in _written:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    _written.clear()
+    return n
+
+
 def empty_text(col: Column) -> Column:
     return F.coalesce(col.cast("string"), F.lit(""))
 

@@ -275,20 +275,24 @@ def encode(df: DataFrame, text_col: str = "text", out_col: str = "ids", model: M
     encoded = C.written(found, "encoded")
     # the counts come back by a join only to choose the frequent ones
     keep = [c for c in df.columns if c != out_col or c == text_col]
-    base = df.select(df[text_col].cast("string").alias("text"), F.struct(*[df[c] for c in keep]).alias("row"))
+    # the text travels once, as a field of the row
+    base = df.select(F.struct(*[df[c] for c in keep]).alias("row"))
+    place = keep.index(text_col)
+    texts_of = lambda rows: rows.field(place)
     words = dictionary(units.join(encoded, "unit") if n > known else encoded.withColumn("c", F.lit(1)), known)
     shared = spark.sparkContext.broadcast((words, model.cut))
     row_type = base.schema["row"].dataType.simpleString()
-    key = F.xxhash64(F.col("text"))
+    text = F.col("row").getField(text_col)
+    key = F.xxhash64(text)
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         look = _Lookup(*shared.value)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                got = [look(x.as_py()) for x in part.column(0)]
+                got = [look(x.as_py()) for x in texts_of(part.column(0))]
                 done = [not rare for _, rare in got]
-                yield pa.RecordBatch.from_arrays([part.column(1).filter(pa.array(done)), _ids_array([ids for ids, rare in got if not rare])], names=["row", "ids"])
+                yield pa.RecordBatch.from_arrays([part.column(0).filter(pa.array(done)), _ids_array([ids for ids, rare in got if not rare])], names=["row", "ids"])
 
     def lacking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         look = _Lookup(*shared.value)
@@ -302,23 +306,23 @@ def encode(df: DataFrame, text_col: str = "text", out_col: str = "ids", model: M
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 got = []
-                for x, m in zip(part.column(0), part.column(2)):
+                for x, m in zip(texts_of(part.column(0)), part.column(1)):
                     got.append(look(x.as_py(), {e["unit"]: np.array(e["ids"], np.int32).tobytes() for e in m.as_py()})[0])
-                yield pa.RecordBatch.from_arrays([part.column(1), _ids_array(got)], names=["row", "ids"])
+                yield pa.RecordBatch.from_arrays([part.column(0), _ids_array(got)], names=["row", "ids"])
 
     def only_rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         look = _Lookup(*shared.value)
         for batch in batches:
-            yield batch.filter(pa.array([bool(look(x.as_py())[1]) for x in batch.column(0)]))
+            yield batch.filter(pa.array([bool(look(x.as_py())[1]) for x in texts_of(batch.column(0))]))
 
     schema = f"row {row_type}, ids array<int>"
     out = base.mapInArrow(whole, schema)
     if n > known:
-        rare = base.select("text", key.alias("key")).mapInArrow(lacking, "key bigint, rare array<string>")
+        rare = base.select(text.alias("text"), key.alias("key")).mapInArrow(lacking, "key bigint, rare array<string>")
         rare = rare.select("key", F.explode("rare").alias("unit")).distinct().join(encoded, "unit")
         rare = C.written(rare.groupBy("key").agg(F.collect_list(F.struct("unit", "ids")).alias("more")), "rare")
-        some = base.mapInArrow(only_rare, f"text string, row {row_type}").withColumn("key", key).join(rare, "key")
-        out = out.unionByName(some.select("text", "row", "more").mapInArrow(with_rare, schema))
+        some = base.mapInArrow(only_rare, f"row {row_type}").withColumn("key", key).join(rare, "key")
+        out = out.unionByName(some.select("row", "more").mapInArrow(with_rare, schema))
     return out.select(*[F.col("row")[c].alias(c) for c in keep if c != out_col], F.col("ids").alias(out_col))
 
 
@@ -327,15 +331,17 @@ def decode(df: DataFrame, ids_col: str = "ids", out_col: str = "decoded", model:
     model = model or load()
     shared = df.sparkSession.sparkContext.broadcast(model.text_of)
     keep = [c for c in df.columns if c != out_col or c == ids_col]
-    base = df.select(df[ids_col].cast("array<int>").alias("ids"), F.struct(*[df[c] for c in keep]).alias("row"))
+    # the ids travel once, as a field of the row
+    base = df.select(F.struct(*[df[c] for c in keep]).alias("row"))
+    place = keep.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         text_of = dict(enumerate(shared.value))
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                texts = [None if (ids := x.as_py()) is None else text_from(ids, text_of) for x in part.column(0)]
-                yield pa.RecordBatch.from_arrays([part.column(1), pa.array(texts, pa.string())], names=["row", "decoded"])
+                texts = [None if (ids := x.as_py()) is None else text_from(ids, text_of) for x in part.column(0).field(place)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string())], names=["row", "decoded"])
 
     out = base.mapInArrow(run, f"row {base.schema['row'].dataType.simpleString()}, decoded string")
     return out.select(*[F.col("row")[c].alias(c) for c in keep if c != out_col], F.col("decoded").alias(out_col))

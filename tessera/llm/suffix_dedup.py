@@ -109,20 +109,11 @@ def _bytes(x: pa.Scalar) -> bytes:
     return (x.as_py() or "").encode("utf-8", "surrogatepass")
 
 
-def _seen_before(seen: set, raw: bytes) -> bool:
-    key = hashlib.blake2b(raw, digest_size=16).digest()
-    if key in seen:
-        return True
-    if len(seen) < REMEMBER:
-        seen.add(key)
-    return False
-
-
 def _minimizer_counts(texts: DataFrame) -> DataFrame:
-    """(h, n) of minimizer hashes that occur twice or more. A task takes equal texts once; the second pass finds their copies itself."""
+    """(h, n) of minimizer hashes that occur twice or more. A task takes equal texts twice at most: a copy's minimizers reach the filter wherever the second pass meets it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set = set()
+        seen: dict[bytes, bool] = {}
         held: list[np.ndarray] = []
         n = 0
 
@@ -133,8 +124,14 @@ def _minimizer_counts(texts: DataFrame) -> DataFrame:
         for batch in batches:
             for x in batch.column(0):
                 raw = _bytes(x)
-                if len(raw) < LENGTH or _seen_before(seen, raw):
+                if len(raw) < LENGTH:
+                    continue
+                whole = hashlib.blake2b(raw, digest_size=16).digest()
+                again = seen.get(whole)
+                if again:
                     continue
+                if again is not None or len(seen) < REMEMBER:
+                    seen[whole] = again is not None
                 held.append(minimizers(np.frombuffer(raw, np.uint8))[0])
                 n += len(held[-1])
                 if n > 1 << 20:
@@ -204,12 +201,13 @@ def _pieces(docs: DataFrame, bloom: np.ndarray) -> DataFrame:
                     out.append((0, 0, doc is None, doc, key, 0, len(raw), 0, None))
                     continue
                 else:
-                    # an earlier copy: its pieces take the place of the other's below
+                    # an earlier copy: the other goes whole, and its pieces take the place of the other's below
                     texts[whole] = at
+                    out.append((0, 0, other[0], None if other[0] else other[1], other[2], 0, len(raw), 0, None))
                 data = np.frombuffer(raw, np.uint8)
                 h, place, first = minimizers(data)
                 stop = np.append(first[1:], len(data) - LENGTH + 1) + LENGTH - 1
-                keep = _may_be_in(known, h) if other is None else np.ones(len(h), bool)
+                keep = _may_be_in(known, h)
                 place, first, stop = place[keep], first[keep], stop[keep]
                 if not len(first):
                     continue
@@ -220,7 +218,8 @@ def _pieces(docs: DataFrame, bloom: np.ndarray) -> DataFrame:
                     if before is None:
                         best[i1, i2] = now[:6] + (raw[a:b],)
                     elif now[:4] < before[:4]:
-                        out.append((0, 0, before[0], None if before[0] else before[1], before[2], before[3], before[4], 0, None))
+                        if before[:3] != other:
+                            out.append((0, 0, before[0], None if before[0] else before[1], before[2], before[3], before[4], 0, None))
                         best[i1, i2] = now[:6] + (before[6],)
                     elif now[:4] > before[:4]:
                         out.append((0, 0, at[0], doc, key, a, b, 0, None))

@@ -64,6 +64,20 @@ def test_equals_all_windows(spark, crowd, monkeypatch):
     check(corpus(spark))
 
 
+@pytest.mark.parametrize("remember", [S.REMEMBER, 5])
+@pytest.mark.parametrize("ids", [range(40), range(39, -1, -1)])
+def test_copies_of_one_task(spark, ids, remember, monkeypatch):
+    monkeypatch.setattr(S, "REMEMBER", remember)
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("abcdefgh ") for _ in range(rng.randint(100, 700))) for _ in range(20)]
+    # each text twice, next to each other or far apart
+    order = [t for t in texts[:10] for _ in (0, 1)] + texts[10:] + texts[10:]
+    df = spark.createDataFrame(list(zip(ids, order)), "doc_id long, text string").coalesce(1)
+    check(df)
+    got = {r["id"]: sum(b - a for a, b in S._merged(r["spans"])) for r in S._with_spans(df, "doc_id", "text", False).collect()}
+    assert sum(got.values()) == sum(map(len, texts))
+
+
 def test_edge_cases(edge, none, clash):
     check(edge.select("doc_id", "text"))
     assert S.dedup_spans(none).collect() == []

@@ -2,7 +2,8 @@
 
 Three base patterns, and one that the method adds (``value``: long mixed strings that look random), give candidates. A
 candidate's value is hashed, and hashes are aggregated by distinct repositories and distinct owners over the whole corpus:
-a value that several owners have is a widely copied example, one that a single owner has looks like a live credential.
+a value that several owners have is a widely copied example, one that a single owner has looks like a live credential,
+in however many of its repositories it occurs.
 Base spans always stay, with their class; of the added kind only owner-specific spans are reported.
 
 In a table of documents ``source`` is the owner, and a source's documents of one language are a repository of it.
@@ -35,9 +36,8 @@ WORDS = ("passw", "secret", "token", "api")
 KINDS = ("assign", "access", "hex", "value")
 #: Bits a character of the least random value of the added kind.
 ENTROPY = 3.5
-#: Owners, and repositories, from which on a value is an example.
+#: Owners from which on a value is an example.
 MANY_OWNERS = 2
-MANY_REPOS = 3
 _DIGIT = re.compile(r"[0-9]")
 
 
@@ -123,7 +123,7 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner: C
     found = rows.select("row", "owner", "repo", F.explode("found").alias("s")).select("row", "owner", "repo", "s.*")
     stats = C.written(ownership(found), "ownership")
     met = C.join_hot(found, stats, "h", "n_rows", found.count())
-    live = (F.col("n_owners") < MANY_OWNERS) & (F.col("n_repos") < MANY_REPOS)
+    live = F.col("n_owners") < MANY_OWNERS
     met = met.withColumn("live", live).filter("kind < 3 OR live")
     # one group is one document's spans
     one = F.struct("start", "kind", "stop", "live")

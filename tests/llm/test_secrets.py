@@ -40,5 +40,12 @@ def test_ownership(spark, none, edge):
     assert S.scan(none).collect() == [] and S.scan(edge).count() == edge.count()
 
 
+def test_one_owner_in_many_repositories(spark):
+    live = "Zx9Qw7Er5Ty3Ui1Op8As"
+    rows = [(i, f"mine {live} token=abcdefgh77", "a", lang) for i, lang in enumerate(["de", "en", "fr", None, "en"])]
+    for r in S.scan(spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").repartition(3)).collect():
+        assert r["spans"] == "value:5:25,assign:26:42" and r["classes"] == "live,live" and (r["n_live"], r["n_example"]) == (2, 0)
+
+
 def test_clashing_names(clash):
     assert S.scan(clash).count() == 6

@@ -8,7 +8,7 @@ of its savings per byte, per window and at most, and of the share of windows abo
 calibrated on labelled documents that the dictionaries did not see.
 
 Bound: ``TRAIN_ROWS`` labelled documents of each class, drawn by hash of the id, train and calibrate (the model is a
-classifier fitted on a bounded sample). Every window of every document is scored.
+classifier fitted on a bounded sample), each with its whole text. Every window of every document is scored.
 
 Defined results. Null and empty texts are one window holding a space, and score as such (0 to 1, never null). Labels
 that are null or belong to no document are not used; a document labelled twice counts with its larger label. Without
@@ -32,9 +32,8 @@ from pyspark.sql import functions as F
 
 from . import _common as C
 
-#: Labelled documents of each class at most, and bytes of each that are used.
+#: Labelled documents of each class at most.
 TRAIN_ROWS = 4000
-TRAIN_BYTES = 20_000
 FOLDS = 5
 WINDOW = 512
 #: A word opening: the space before the word and its first bytes.
@@ -122,8 +121,7 @@ def _dictionaries(toxic: list[bytes], ordinary: list[bytes]) -> tuple[bytes, byt
     samples = sorted(hashlib.blake2b(b"%d" % i, digest_size=8).digest() + o for i, o in enumerate(found))
     size = min(TOXIC_BYTES, SPARE * OPENING * len(telling))
     windows = [t[i : i + 256] for t in ordinary for i in range(0, len(t), 256)]
-    step = max(1, len(windows) // 20_000)
-    return _trained(windows[::step], ORDINARY_BYTES, k=64, d=8), _trained(samples, size, k=OPENING, d=8) if samples else b""
+    return _trained(windows, ORDINARY_BYTES, k=64, d=8), _trained(samples, size, k=OPENING, d=8) if samples else b""
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0) -> np.ndarray:
@@ -140,7 +138,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0) -> np.ndarray:
 
 def fit(rows: list[tuple[str | None, int]]) -> Model:
     """rows: (text, 0 or 1). Copies count once. Two thirds train the dictionaries, one third calibrates."""
-    unique = sorted({(normal((t or "")[:TRAIN_BYTES]), int(y)) for t, y in rows})
+    unique = sorted({(normal(t), int(y)) for t, y in rows})
     base = sum(y for _, y in unique) / len(unique) if unique else 0.0
     toxic, ordinary = [t for t, y in unique if y], [t for t, y in unique if not y]
     if min(len(toxic), len(ordinary)) < 6:
@@ -154,14 +152,14 @@ def fit(rows: list[tuple[str | None, int]]) -> Model:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", held_out: bool = True) -> Model:
-    """Fit on at most TRAIN_ROWS documents of each class; ``held_out`` spares ids whose crc32 modulo 5 is 0. The sample, bounded in rows and bytes, comes to the driver."""
+    """Fit on at most TRAIN_ROWS documents of each class; ``held_out`` spares ids whose crc32 modulo 5 is 0. The sample, bounded in rows, comes to the driver with its whole texts."""
     marks = C.only(labels, id=id_col, y=label_col).filter("id IS NOT NULL AND y IS NOT NULL")
     if held_out:
         marks = marks.filter(C.crc_mod(F.col("id"), FOLDS) != 0)
     marks = marks.groupBy("id").agg(F.max(F.col("y").cast("int")).alias("y")).filter("y IN (0, 1)")
     draw = marks.withColumn("draw", F.md5(C.id_text(F.col("id")).cast("binary")))
     drawn = C.union_all([draw.filter(F.col("y") == y).orderBy("draw", "id").limit(TRAIN_ROWS) for y in (0, 1)])
-    texts = C.only(docs, id=id_col, text=text_col).join(F.broadcast(drawn), "id").select(F.substring("text", 1, TRAIN_BYTES).alias("text"), "y")
+    texts = C.only(docs, id=id_col, text=text_col).join(F.broadcast(drawn), "id").select(F.col("text").cast("string").alias("text"), "y")
     return fit([(r.text, r.y) for r in texts.toLocalIterator()])
 
 

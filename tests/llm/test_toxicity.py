@@ -32,6 +32,24 @@ def test_held_out_accuracy(spark):
     assert all(0 <= r["toxicity"] <= 1 for r in got)
 
 
+def test_whole_texts_train(spark):
+    rows, labels = corpus(500)
+    # what tells the classes apart starts after 20,000 characters
+    filler = "ordinary opening words " * 900
+    docs = spark.createDataFrame([(i, filler + t) for i, t in rows], "doc_id long, text string")
+    model = T.train(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert sum(w in model.toxic for w in (b" horri", b" wretc", b" vermi", b" dread", b" imbec")) >= 3
+    one, truth = model.scorer(), dict(labels)
+    assert np.mean([(one(filler + t) >= 0.5) == bool(truth[i]) for i, t in rows]) > 0.8
+
+
+def test_all_ordinary_windows_train(monkeypatch):
+    given = []
+    monkeypatch.setattr(T, "_trained", lambda samples, size, **how: given.append(len(samples)) or b"")
+    T._dictionaries([], [b" word" * 250_000] * 10)
+    assert given == [10 * -(-1_250_000 // 256)]
+
+
 def test_edge_cases(spark, edge, none, clash):
     rows, labels = corpus(300)
     model = T.fit([(t, y) for (_, t), (_, y) in zip(rows, labels)])

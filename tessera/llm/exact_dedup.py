@@ -22,8 +22,10 @@ from . import _common as C
 DIGEST = ("keep_id", "group_size", "kept", "text_sha256")
 #: Filter words per row (64 bits each): 16 bits a row, about 1 % false positives.
 ROWS_PER_WORD = 4
-#: Filter words with a repeated bit that may be broadcast (16 bytes each); beyond, the probe is a shuffled join on the word.
-BROADCAST_WORDS = 1 << 20
+#: Filter words of one broadcast (8 bytes each). A larger filter goes in several, each probed by the rows of its range of words.
+BROADCAST_WORDS = 1 << 23
+#: A broadcast row packs 2^PACK words.
+PACK = 6
 
 
 def _bit(n: Column) -> Column:
@@ -50,11 +52,20 @@ def _tagged(df: DataFrame, text_col: str, rows: int) -> DataFrame:
     """``df`` with __possible: whether all three bits of the row's hash were set twice."""
     words = 1 << max(10, (max(1, rows) // ROWS_PER_WORD).bit_length())
     twice = C.written(repeated_bits(df, text_col, words), "bloom")
-    twice = C.small_side(twice.select(F.col("word").alias("__word"), F.col("twice").alias("__twice")), twice.count(), BROADCAST_WORDS)
+    pairs = F.map_from_entries(F.collect_list(F.struct(F.col("word").bitwiseAND(F.lit((1 << PACK) - 1)).cast("int").alias("k"), F.col("twice").alias("v"))))
+    twice = twice.groupBy(F.shiftright("word", PACK).alias("__block")).agg(pairs.alias("pairs"))
+    dense = F.transform(F.sequence(F.lit(0), F.lit((1 << PACK) - 1)), lambda k: F.coalesce(F.try_element_at("pairs", k), F.lit(0).cast("long")))
+    twice = C.written(twice.select("__block", dense.alias("__twice")), "blocks")
     word, mask = _probe(df[text_col], words)
-    out = df.withColumns({"__word": word, "__mask": mask}).join(twice, "__word", "left")
-    hit = F.coalesce(F.col("__twice").bitwiseAND(F.col("__mask")) == F.col("__mask"), F.lit(False))
-    return out.withColumn("__possible", hit).drop("__word", "__mask", "__twice")
+    rows_of = df.withColumns({"__word": word, "__mask": mask}).withColumn("__block", F.shiftright("__word", PACK))
+    blocks, step = words >> PACK, max(1, BROADCAST_WORDS >> PACK)
+    parts = []
+    for first in range(0, blocks, step):
+        near = rows_of.filter(F.col("__block").between(first, first + step - 1)) if step < blocks else rows_of
+        parts.append(near.join(F.broadcast(twice.filter(F.col("__block").between(first, first + step - 1))), "__block", "left"))
+    at = F.get("__twice", F.col("__word").bitwiseAND(F.lit((1 << PACK) - 1)).cast("int"))
+    hit = F.coalesce(at.bitwiseAND(F.col("__mask")) == F.col("__mask"), F.lit(False))
+    return C.union_all([part.withColumn("__possible", hit).drop("__word", "__mask", "__block", "__twice") for part in parts])
 
 
 def annotate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -51,6 +51,23 @@ def test_many_copies_and_few_words(spark, monkeypatch):
     assert got(df) == plain(rows)
 
 
+def test_rows_do_not_shuffle_before_the_probe(spark, monkeypatch):
+    rows = [(i, f"t{i % 40 if i % 3 else i}") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for most in (256, 0):  # ranges of the filter: of several blocks, of one
+            monkeypatch.setattr(X, "BROADCAST_WORDS", most)
+            tagged = X._tagged(df, "text", len(rows))
+            assert "hashpartitioning" not in tagged._jdf.queryExecution().executedPlan().toString()
+            repeated = {t for _, t in rows if sum(t == u for _, u in rows) > 1}
+            assert tagged.count() == len(rows) and repeated <= {r["text"] for r in tagged.filter("__possible").collect()}
+            assert tagged.filter("NOT __possible").count() > 0
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+
+
 @settings(max_examples=8, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 5), st.sampled_from(["", "a", "b", "c", None])), max_size=12))
 def test_any(spark, rows):

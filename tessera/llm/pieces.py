@@ -11,8 +11,12 @@ a part on the right edge of the left piece's merge tree and a part on the left e
 than the merges that used these parts up. Each edge of the lattice carries the ranks of these merges by length, and the
 pieces across the boundary are edges too, so the fold needs nothing else. The result is the library's own.
 
-Documents look their units up: the ``KNOWN`` most frequent ones (a bound on the dictionary that goes along with each
-task), and the rest by a join on the cluster that only documents with such units take part in.
+Documents become codes, in chunks of ``CHUNK`` or more: places in a dictionary of the ``KNOWN`` most frequent units, which
+goes along with each task, and running numbers for the chunk's other units. Those units alone are joined to the lattice's
+table, and their ids go back to the chunk. Units are compared as text throughout. Text is read twice and never shuffled.
+
+Memory: a unit without a cut in it, such as a run of one sign, is one group of the lattice (some 16 edges a character);
+its fold is linear in its length, and slow: under a millisecond a character.
 
 Defined results. Null and empty texts have no tokens. Characters that the model lacks become the model's byte pieces.
 Decoding joins pieces and drops the space that encoding adds in front; it gives the text back, but for the character
@@ -30,18 +34,26 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+import zstandard
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _common as C
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-KNOWN = 1 << 21
+#: Units of the dictionary that goes along with each task, at most (some 6 MB; the same at any size of the corpus).
+KNOWN = 1 << 19
+#: Codes of a chunk, from which on it ends; distinct units that a task counts at a time.
+CHUNK = 1 << 16
+TASK_WORDS = 400_000
 NEVER = 2**31 - 1
 #: Units longer than this are cut further where no piece has both characters side by side.
 LONG = 48
+#: Ids of a unit that are copied as one.
+RUN = 256
 #: Units of one task's lattice, on average.
 TASK_UNITS = 20_000
 STEPS = 16
@@ -127,13 +139,28 @@ def _unit_pattern(odd: str) -> re.Pattern:
     return re.compile(f"{SPACE}*[^\\W\\d_{odd}]+|{SPACE}*(?:[^\\w{SPACE}\n]|[\\d_{odd}])+|{SPACE}+|\n")
 
 
-def units_of(text: str | None, cut: tuple[re.Pattern, set[str]]) -> list[str]:
-    """cut: the model's pattern of units, and its pairs of characters."""
+def words_of(text: str | None) -> list[str]:
+    """The text between single spaces, as the library sees it: each word stands for a space (the one that encoding adds, for the first) and itself. Further spaces are part of the word after them."""
     if not text:
         return []
+    words = text.replace(SPACE, " ").split(" ")
+    if "" not in words:
+        return words
+    out, spaces = [], 0
+    for w in words:
+        if w:
+            out.append(SPACE * spaces + w)
+            spaces = 0
+        else:
+            spaces += 1
+    return [*out, SPACE * (spaces - 1)] if spaces else out
+
+
+def units_of(word: str, cut: tuple[re.Pattern, set[str]]) -> list[str]:
+    """Units of a word and the space before it. cut: the model's pattern of units, and its pairs of characters."""
     pattern, pairs = cut
-    found = pattern.findall(SPACE + text.replace(" ", SPACE))
-    if max(map(len, found)) <= LONG:
+    found = pattern.findall(SPACE + word)
+    if len(word) < LONG or max(map(len, found)) <= LONG:
         return found
     out = []
     for u in found:
@@ -154,7 +181,13 @@ def unit_counts(texts: DataFrame, model: Model) -> DataFrame:
     shared = texts.sparkSession.sparkContext.broadcast(model.cut)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut, counts = shared.value, Counter()
+        cut, words, counts = shared.value, Counter(), Counter()
+
+        def to_units() -> None:
+            for w, n in words.items():
+                for u in units_of(w, cut):
+                    counts[u] += n
+            words.clear()
 
         def flushed() -> pa.RecordBatch:
             out = pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], names=["unit", "n"])
@@ -163,167 +196,226 @@ def unit_counts(texts: DataFrame, model: Model) -> DataFrame:
 
         for batch in batches:
             for x in batch.column(0):
-                counts.update(units_of(x.as_py(), cut))
-                if len(counts) > 250_000:
-                    yield flushed()
+                words.update(words_of(x.as_py()))
+                if len(words) > 200_000:
+                    to_units()
+                    if len(counts) > TASK_WORDS:
+                        yield flushed()
+        to_units()
         if counts:
             yield flushed()
 
     return texts.mapInArrow(run, "unit string, n bigint").groupBy("unit").agg(F.sum("n").alias("c"))
 
 
-def lattice(units: DataFrame, pieces: DataFrame, model: Model) -> DataFrame:
-    """units (unit, ...) partitioned by unit -> (unit, ids)."""
-    edges = units.select("unit", F.explode(F.expr("sequence(0, length(unit) - 1)")).alias("a"))
-    edges = edges.select("unit", "a", F.explode(F.expr(f"sequence(a + 1, least(a + {model.longest}, length(unit)))")).alias("b"))
-    edges = edges.withColumn("piece", F.expr("substring(unit, a + 1, b - a)"))
+def reaches(pieces: DataFrame, model: Model) -> DataFrame:
+    """(two, reach): for the first two characters of pieces, the longest piece that has them."""
+    return pieces.filter("length(piece) > 1").groupBy(F.substring("piece", 1, 2).alias("two")).agg(F.max(F.length("piece")).alias("reach"))
+
+
+def lattice(units: DataFrame, pieces: DataFrame, reach: DataFrame, model: Model) -> DataFrame:
+    """units (k, unit, c), numbered by k and partitioned by it -> (unit, c, ids)."""
+    # rows carry the unit's number; the unit itself goes with its first edge only. A long unit is cut in blocks first
+    blocks = units.select("k", "unit", "c", F.explode(F.expr(f"sequence(0, length(unit) - 1, {RUN})")).alias("from"))
+    blocks = blocks.select("k", "from", F.when(F.col("from") == 0, F.struct("unit", "c")).alias("own"), F.expr(f"substring(unit, from + 1, {RUN + model.longest})").alias("part"))
+    edges = blocks.select("k", "from", "own", "part", F.explode(F.expr(f"sequence(0, least({RUN}, length(part)) - 1)")).alias("at"))
+    edges = edges.select("k", (F.col("from") + F.col("at")).alias("a"), F.when(F.col("at") == 0, F.col("own")).alias("own"), F.expr(f"substring(part, at + 1, {model.longest})").alias("near"))
+    edges = edges.withColumn("two", F.substring("near", 1, 2)).join(F.broadcast(reach), "two", "left")
+    edges = edges.select("k", "a", "near", "own", F.explode(F.expr("sequence(1, least(length(near), coalesce(reach, 1)))")).alias("n"))
+    edges = edges.select("k", "a", (F.col("a") + F.col("n")).alias("b"), F.when(F.col("n") == 1, F.col("own")).alias("own"), F.expr("substring(near, 1, n)").alias("piece"))
     edges = edges.join(F.broadcast(pieces), "piece", "left").filter("id IS NOT NULL OR b = a + 1")
     # a character that is no piece is an edge that nothing merges with, and its ids are those of its bytes
     byte_ids = ", ".join(map(str, model.byte_ids))
     of_bytes = f"transform(sequence(1, octet_length(piece)), k -> element_at(array({byte_ids}), 1 + cast(conv(substring(hex(piece), 2 * k - 1, 2), 16, 10) AS int)))"
     edge = F.expr(f"struct(b, a, coalesce(r, {NEVER}) AS r, coalesce(ls, array(-1, {NEVER})) AS ls, coalesce(rs, array(-1, {NEVER})) AS rs, if(id IS NULL, {of_bytes}, array(id)) AS ids)")
-    words = edges.groupBy("unit").agg(F.array_sort(F.collect_list(edge)).alias("edges"))
-    # acc: for each position, the ids of the prefix's encoding and the right edge of its last piece
-    across = "c.a < e.a AND c.b > e.a AND c.r < coalesce(get(get(acc, e.a).rs, e.a - c.a), -1) AND c.r <= coalesce(get(e.ls, c.b - e.a), -1)"
-    fits = f"get(acc, e.a) IS NOT NULL AND (e.a = 0 OR NOT exists(edges, c -> {across}))"
+    words = edges.groupBy("k").agg(F.first("own", ignorenulls=True).alias("own"), F.sort_array(F.collect_list(edge)).alias("edges"))
+    folded = F.when(F.length("own.unit") <= LONG, F.expr(_fold_all())).otherwise(F.expr(_fold_near()))
+    return words.select("own.unit", "own.c", folded.alias("ids"))
+
+
+def _fold_all() -> str:
+    """Ids of a unit's ``edges``, which come by their end. The table holds, for each position, the ids of the prefix's encoding and the right edge of its last piece."""
     kind = "struct<ids:array<int>,rs:array<int>>"
     start = f"array(cast(struct(array(), array(0)) AS {kind}))"
-    # edges come by their end; positions that no piece ends at stay null
+    across = "c.a < e.a AND c.b > e.a AND c.r < coalesce(get(get(acc, e.a).rs, e.a - c.a), -1) AND c.r <= coalesce(get(e.ls, c.b - e.a), -1)"
+    fits = f"get(acc, e.a) IS NOT NULL AND (e.a = 0 OR NOT exists(long, c -> {across}))"
+    # positions that no piece ends at stay null
     padded = f"if(size(acc) < e.b, concat(acc, array_repeat(cast(null AS {kind}), e.b - size(acc))), acc)"
     step = f"CASE WHEN size(acc) > e.b THEN acc WHEN {fits} THEN array_append({padded}, struct(concat(get(acc, e.a).ids, e.ids) AS ids, e.rs AS rs)) ELSE acc END"
-    table = f"aggregate(edges, {start}, (acc, e) -> {step}, acc -> element_at(acc, -1).ids)"
-    return words.select("unit", F.expr(table).alias("ids"))
+    return f"get(transform(array(filter(edges, e -> e.b > e.a + 1)), long -> aggregate(edges, {start}, (acc, e) -> {step}, acc -> element_at(acc, -1).ids)), 0)"
+
+
+def _fold_near() -> str:
+    """The same for a unit of any length: the state holds only what lies about the position, so the work is linear.
+
+    Edges come by their start. All that cross a boundary start before it; those that the piece to the left of it would not
+    have merged first are picked once for the position. Ids are held in full runs of ``RUN`` and a last one.
+    """
+    ends, near = "array<struct<at:int,runs:array<array<int>>,last:array<int>,rs:array<int>>>", "array<struct<a:int,b:int,r:int>>"
+    state = f"struct<at:int,left:{ends[6:-1]},open:{near},first:{near},here:{near},ends:{ends}>"
+    start = f"cast(struct(0, struct(0, array(), array(), array(0)), array(), array(), array(), array()) AS {state})"
+    # what changes where edges start at the next position, and what an edge adds
+    to_left = "get(filter(s.ends, x -> x.at = e.a), 0)"
+    opened = "filter(concat(s.open, s.here), c -> c.b > e.a)"
+    moved = f"get(transform(array(struct({to_left} AS left, {opened} AS open)), m -> struct(e.a AS at, m.left AS left, m.open AS open, filter(m.open, c -> c.r < get(m.left.rs, e.a - c.a)) AS first, slice(s.here, 1, 0) AS here, filter(s.ends, x -> x.at > e.a) AS ends)), 0)"
+    across = "coalesce(exists(t.first, c -> c.r <= get(e.ls, c.b - e.a)), false)"
+    full = f"size(t.left.last) >= {RUN}"
+    end = f"struct(e.b AS at, if({full}, array_append(t.left.runs, t.left.last), t.left.runs) AS runs, if({full}, e.ids, concat(t.left.last, e.ids)) AS last, e.rs AS rs)"
+    here = "if(e.b = e.a + 1, t.here, array_append(t.here, struct(e.a AS a, e.b AS b, e.r AS r)))"
+    added = f"struct(t.at AS at, t.left AS left, t.open AS open, t.first AS first, {here} AS here, if(t.left IS NULL OR {across}, t.ends, array_append(t.ends, {end})) AS ends)"
+    step = f"get(transform(array(if(e.a = s.at, s, {moved})), t -> {added}), 0)"
+    finish = "get(transform(filter(s.ends, x -> x.at = length(own.unit)), x -> flatten(array_append(x.runs, x.last))), 0)"
+    by_start = "transform(sort_array(transform(edges, e -> struct(e.a AS a, e.b AS b, e.r AS r, e.ls AS ls, e.rs AS rs, e.ids AS ids))), e -> e)"
+    return f"aggregate({by_start}, {start}, (s, e) -> {step}, s -> {finish})"
 
 
 @dataclass
 class Dictionary:
-    """Ids of frequent units, by hash of the unit: sorted hashes, and where each one's ids are."""
+    """Ids of frequent units, by place; the units themselves as Arrow, and which of a range of counts they are."""
 
-    hashes: np.ndarray
+    units: pa.Array
     starts: np.ndarray
     ids: np.ndarray
+    least: int | None  # frequent units have a step of at least this; None: there are none
 
-    def find(self, units: list[str]) -> list[bytes | None]:
-        if not len(self.hashes):
-            return [None] * len(units)
-        h = np.array([xxhash.xxh64_intdigest(u.encode("utf-8", "surrogatepass"), 42) for u in units], np.uint64).view(np.int64)
-        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-        hit = self.hashes[at] == h
-        return [self.ids[a:b].tobytes() if ok else None for ok, a, b in zip(hit.tolist(), self.starts[at].tolist(), self.starts[at + 1].tolist())]
 
+def _step() -> Column:
+    """Units are ranked by count, in STEPS steps of a doubling."""
+    return F.floor(F.log2("c") * STEPS).cast("int")
 
-def dictionary(table: DataFrame, most: int = KNOWN) -> Dictionary:
-    """At most ``most`` of the most frequent units (all units of about a count, or none)."""
-    step = F.floor(F.log2("c") * STEPS).cast("int")
+
+def dictionary(table: DataFrame, most: int) -> Dictionary:
+    """At most ``most`` of the most frequent units of (unit, c, ids): all units of a step, or none."""
     total, least = 0, None
-    for r in table.groupBy(step.alias("s")).count().orderBy(F.desc("s")).collect():
+    for r in table.groupBy(_step().alias("s")).count().orderBy(F.desc("s")).collect():
         total += r["count"]
         if total > most:
             break
         least = r["s"]
-    kept = table.filter(step >= least if least is not None else F.lit(False))
-    got = kept.select(F.xxhash64("unit").alias("h"), "ids").toArrow()
-    h = got.column(0).to_numpy()
-    lists = got.column(1).combine_chunks()
-    lengths = lists.value_lengths().to_numpy() if len(h) else np.zeros(0, np.int64)
-    flat = lists.flatten().to_numpy().astype(np.int32) if len(h) else np.zeros(0, np.int32)
-    starts = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
-    order = np.argsort(h, kind="stable")
-    gather = np.repeat(starts[:-1][order] - np.concatenate([[0], np.cumsum(lengths[order])[:-1]]), lengths[order]) + np.arange(len(flat)) if len(h) else np.zeros(0, np.int64)
-    return Dictionary(h[order], np.concatenate([[0], np.cumsum(lengths[order])]).astype(np.int64), flat[gather])
-
-
-class _Lookup:
-    """Ids (bytes of int32) of a text's units, remembered from text to text."""
-
-    def __init__(self, known: Dictionary, cut: tuple, room: int = 200_000):
-        self.known, self.cut, self.room, self.memo = known, cut, room, {}
-
-    def __call__(self, text: str | None, more: dict[str, bytes] | None = None) -> tuple[list[bytes], list[str]]:
-        """The ids, and the units that neither the dictionary nor ``more`` has."""
-        units = units_of(text, self.cut)
-        lacking = list({u for u in units if u not in self.memo})
-        if len(self.memo) > self.room:
-            self.memo, lacking = {}, list(set(units))
-        own, rare = {}, []
-        for u, ids in zip(lacking, self.known.find(lacking) if lacking else []):
-            if ids is None:
-                ids = own[u] = (more or {}).get(u)
-                if ids is None:
-                    rare.append(u)
-            else:
-                self.memo[u] = ids
-        if rare:
-            return [], rare
-        memo = self.memo
-        return [memo[u] if u in memo else own[u] for u in units] if own else [memo[u] for u in units], []
-
-
-def _ids_array(parts: list[list[bytes]]) -> pa.Array:
-    joined = [np.frombuffer(b"".join(p), np.int32) for p in parts]
-    offsets = np.concatenate([[0], np.cumsum([len(j) for j in joined])]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(joined) if joined else np.zeros(0, np.int32)))
-
-
-def encode(df: DataFrame, text_col: str = "text", out_col: str = "ids", model: Model | None = None, known: int = KNOWN) -> DataFrame:
-    """``df`` with the token ids of its text."""
+    kept = table.filter(_step() >= least if least is not None else F.lit(False)).orderBy(F.desc("c")).select("unit", "ids").toArrow()
+    lists = kept.column(1).combine_chunks()
+    flat, starts = _ragged(lists) if len(lists) else (np.zeros(0, np.int32), np.zeros(1, np.int64))
+    return Dictionary(kept.column(0).combine_chunks() if len(lists) else pa.array([], pa.string()), starts, flat, least)
+
+
+def _ragged(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Values of a list array, and where each list starts (and the last one ends)."""
+    return lists.flatten().to_numpy(zero_copy_only=False).astype(np.int32), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())]).astype(np.int64)
+
+
+def _gathered(at: np.ndarray, flat: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The lists ``at`` one after another, and their lengths."""
+    lengths = starts[at + 1] - starts[at]
+    ends = np.cumsum(lengths)
+    return flat[np.repeat(starts[at] - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)], lengths
+
+
+class _Codes(dict):
+    """Codes (bytes of uint32) of words: places in the dictionary, or numbers from its size on for units that it lacks, in the order they come up. Words without such units are remembered from chunk to chunk."""
+
+    def __init__(self, known: dict[str, int], cut: tuple, room: int = 300_000):
+        super().__init__()
+        self.known, self.cut, self.room, self.rare, self.passing = known, cut, room, {}, []
+
+    def __missing__(self, word: str) -> bytes:
+        units = units_of(word, self.cut)
+        codes = [self.known.get(u, -1) for u in units]
+        if -1 in codes:
+            rare, n = self.rare, len(self.known)
+            codes = [c if c >= 0 else n + rare.setdefault(u, len(rare)) for u, c in zip(units, codes)]
+            self.passing.append(word)
+        self[word] = out = np.array(codes, "<u4").tobytes()
+        return out
+
+    def next_chunk(self) -> list[str]:
+        """The chunk's units that the dictionary lacks."""
+        out = list(self.rare)
+        self.rare = {}
+        for w in self.passing:
+            self.pop(w, None)
+        self.passing = []
+        if len(self) > self.room:
+            self.clear()
+        return out
+
+
+def _packed(codes: list[bytes]) -> bytes:
+    """zstandard of the codes' first bytes, second bytes and so on."""
+    return zstandard.ZstdCompressor(level=1).compress(np.frombuffer(b"".join(codes), np.uint8).reshape(-1, 4).T.tobytes())
+
+
+def _unpacked(packed: bytes) -> np.ndarray:
+    raw = zstandard.ZstdDecompressor().decompress(packed)
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+
+
+def encode(df: DataFrame, text_col: str = "text", out_col: str = "ids", model: Model | None = None, known: int = KNOWN, keep: list[str] | None = None) -> DataFrame:
+    """``df`` with the token ids of its text. ``keep``: the columns that go along (all of them); a text that is not kept is read and never written or shuffled."""
     spark, model = df.sparkSession, model or load()
     units = C.written(unit_counts(C.only(df, text=text_col), model), "units")
     n = units.count()
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n // TASK_UNITS)
-    found = lattice(units.select("unit").repartition(tasks, "unit"), piece_table(spark, model), model)
-    encoded = C.written(found, "encoded")
-    # the counts come back by a join only to choose the frequent ones
-    keep = [c for c in df.columns if c != out_col or c == text_col]
-    # the text travels once, as a field of the row
-    base = df.select(F.struct(*[df[c] for c in keep]).alias("row"))
-    place = keep.index(text_col)
-    texts_of = lambda rows: rows.field(place)
-    words = dictionary(units.join(encoded, "unit") if n > known else encoded.withColumn("c", F.lit(1)), known)
-    shared = spark.sparkContext.broadcast((words, model.cut))
+    pieces = piece_table(spark, model)
+    numbered = units.withColumn("k", F.monotonically_increasing_id()).repartition(tasks, "k")
+    encoded = C.written(lattice(numbered, pieces, reaches(pieces, model), model), "encoded")
+    words = dictionary(encoded, known)
+    n_known = len(words.units)
+    shared = spark.sparkContext.broadcast((words.units, model.cut))
+    keep = [c for c in (df.columns if keep is None else keep) if c != out_col]
+    names = [f"c{i}" for i in range(len(keep))]
+    base = df.select(df[text_col].cast("string").alias("text"), F.struct(*[df[c].alias(n) for c, n in zip(keep, names)], F.lit(0).alias("none")).alias("row"))
     row_type = base.schema["row"].dataType.simpleString()
-    text = F.col("row").getField(text_col)
-    key = F.xxhash64(text)
-
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        look = _Lookup(*shared.value)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                got = [look(x.as_py()) for x in texts_of(part.column(0))]
-                done = [not rare for _, rare in got]
-                yield pa.RecordBatch.from_arrays([part.column(0).filter(pa.array(done)), _ids_array([ids for ids, rare in got if not rare])], names=["row", "ids"])
-
-    def lacking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        look = _Lookup(*shared.value)
-        for batch in batches:
-            got = [look(x.as_py())[1] for x in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(got, pa.list_(pa.string()))], names=["key", "rare"]).filter(pa.array([bool(r) for r in got]))
 
-    def with_rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        look = _Lookup(*shared.value)
+    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        units, cut = shared.value
+        look = _Codes({u: i for i, u in enumerate(units.to_pylist())}, cut)
+        part, seq = TaskContext.get().partitionId(), 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                got = []
-                for x, m in zip(texts_of(part.column(0)), part.column(1)):
-                    got.append(look(x.as_py(), {e["unit"]: np.array(e["ids"], np.int32).tobytes() for e in m.as_py()})[0])
-                yield pa.RecordBatch.from_arrays([part.column(0), _ids_array(got)], names=["row", "ids"])
-
-    def only_rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        look = _Lookup(*shared.value)
+            texts, rows, at = batch.column(0), batch.column(1), 0
+            while at < batch.num_rows:
+                codes, lengths, size, first = [], [], 0, at
+                while at < batch.num_rows and size < CHUNK:
+                    parts = [look[w] for w in words_of(texts[at].as_py())]
+                    codes.append(b"".join(parts))
+                    lengths.append(len(codes[-1]) // 4)
+                    size += lengths[-1]
+                    at += 1
+                made = [pa.array([(part << 33) | seq]), pa.ListArray.from_arrays(pa.array([0, at - first], pa.int32()), rows.slice(first, at - first)), pa.array([lengths], pa.list_(pa.int32())), pa.array([_packed(codes)], pa.binary()), pa.array([look.next_chunk()], pa.list_(pa.string()))]
+                seq += 1
+                yield pa.RecordBatch.from_arrays(made, names=["chunk", "rows", "lengths", "codes", "rare"])
+
+    table = C.written(base.mapInArrow(chunks, f"chunk bigint, rows array<{row_type}>, lengths array<int>, codes binary, rare array<string>"), "chunks", "zstd")
+    # what the dictionary lacks is joined by unit (a rare one, so no key is hot), and goes back to its chunk
+    asked = table.select("chunk", F.posexplode("rare").alias("at", "unit"))
+    rare = encoded.filter(_step() < words.least) if words.least is not None else encoded
+    found = asked.join(rare.select("unit", "ids"), "unit").groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("at", "ids"))).alias("found"))
+    whole = table.select("chunk", "rows", "lengths", "codes", F.size("rare").alias("n_rare")).join(found, "chunk", "left")
+    lists = spark.sparkContext.broadcast((words.ids, words.starts))
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flat, starts = lists.value
         for batch in batches:
-            yield batch.filter(pa.array([bool(look(x.as_py())[1]) for x in texts_of(batch.column(0))]))
-
-    schema = f"row {row_type}, ids array<int>"
-    out = base.mapInArrow(whole, schema)
-    if n > known:
-        rare = base.select(text.alias("text"), key.alias("key")).mapInArrow(lacking, "key bigint, rare array<string>")
-        rare = rare.select("key", F.explode("rare").alias("unit")).distinct().join(encoded, "unit")
-        rare = C.written(rare.groupBy("key").agg(F.collect_list(F.struct("unit", "ids")).alias("more")), "rare")
-        some = base.mapInArrow(only_rare, f"row {row_type}").withColumn("key", key).join(rare, "key")
-        out = out.unionByName(some.select("row", "more").mapInArrow(with_rare, schema))
-    return out.select(*[F.col("row")[c].alias(c) for c in keep if c != out_col], F.col("ids").alias(out_col))
+            for i in range(batch.num_rows):
+                rows, lengths, packed, n_rare, found = (batch.column(j).slice(i, 1) for j in range(5))
+                codes, n_rare = _unpacked(packed[0].as_py()), n_rare[0].as_py()
+                own = found.flatten()
+                if len(own) != n_rare:
+                    raise RuntimeError(f"{n_rare - len(own)} units have no ids")
+                own_flat, own_starts = _ragged(own.field("ids")) if n_rare else (np.zeros(0, np.int32), np.zeros(1, np.int64))
+                is_rare = codes >= n_known
+                if is_rare.all() or not is_rare.any():
+                    ids, sizes = _gathered(codes, flat, starts) if not is_rare.any() else _gathered(codes - n_known, own_flat, own_starts)
+                else:
+                    sizes = np.empty(len(codes), np.int64)
+                    usual, sizes[~is_rare] = _gathered(codes[~is_rare], flat, starts)
+                    others, sizes[is_rare] = _gathered(codes[is_rare] - n_known, own_flat, own_starts)
+                    ids, here = np.empty(len(usual) + len(others), np.int32), np.repeat(is_rare, sizes)
+                    ids[here], ids[~here] = others, usual
+                ends = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(lengths.flatten().to_numpy())])]
+                yield pa.RecordBatch.from_arrays([rows.flatten(), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids))], names=["row", "ids"])
+
+    out = whole.select("rows", "lengths", "codes", "n_rare", "found").mapInArrow(fill, f"row {row_type}, ids array<int>")
+    return out.select(*[F.col("row")[n].alias(c) for c, n in zip(keep, names)], F.col("ids").alias(out_col))
 
 
 def decode(df: DataFrame, ids_col: str = "ids", out_col: str = "decoded", model: Model | None = None) -> DataFrame:
@@ -336,24 +428,54 @@ def decode(df: DataFrame, ids_col: str = "ids", out_col: str = "decoded", model:
     place = keep.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        text_of = dict(enumerate(shared.value))
+        texts = _Texts(shared.value)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                texts = [None if (ids := x.as_py()) is None else text_from(ids, text_of) for x in part.column(0).field(place)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string())], names=["row", "decoded"])
+                yield pa.RecordBatch.from_arrays([part.column(0), texts(part.column(0).field(place))], names=["row", "decoded"])
 
     out = base.mapInArrow(run, f"row {base.schema['row'].dataType.simpleString()}, decoded string")
     return out.select(*[F.col("row")[c].alias(c) for c in keep if c != out_col], F.col("decoded").alias(out_col))
 
 
+class _Texts:
+    """Texts of lists of ids: the pieces of all lists are taken at once, and cut where a list ends."""
+
+    def __init__(self, text_of: list[bytes | None]):
+        known = [t or b"" for t in text_of]
+        self.n = len(known)
+        # the same again without the space in front, for the first id of a list; and nothing, for an id outside the model
+        self.pieces = pa.array([*known, *[t.removeprefix(b" ") for t in known], b""], pa.binary())
+
+    def __call__(self, lists: pa.Array) -> pa.Array:
+        flat, starts = _ragged(lists.cast(pa.list_(pa.int32())).fill_null([]))
+        at = np.where((flat >= 0) & (flat < self.n), flat, 2 * self.n).astype(np.int32)
+        filled = np.flatnonzero(np.diff(starts))
+        heads = starts[:-1][filled]
+        at[heads] = np.where(at[heads] < self.n, at[heads] + self.n, at[heads])
+        taken = self.pieces.take(pa.array(at))
+        ends = np.frombuffer(taken.buffers()[1], np.int32, len(taken) + 1)[starts] if len(taken) else np.zeros(len(starts), np.int32)
+        raw = pa.BinaryArray.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(ends.tobytes()), taken.buffers()[2]]) if len(taken) else pa.array([b""] * len(lists), pa.binary())
+        try:
+            out = raw.cast(pa.string())
+        except pa.ArrowInvalid:  # bytes that are no UTF-8
+            out = pa.array([b.decode("utf-8", "replace") for b in raw.to_pylist()], pa.string())
+        return pc.if_else(lists.is_valid(), out, pa.scalar(None, pa.string())) if lists.null_count else out
+
+
 def text_from(ids: list[int], text_of: dict[int, bytes | None]) -> str:
     raw = b"".join([text_of.get(i) or b"" for i in ids])
     return raw.decode("utf-8", "replace").removeprefix(" ")
 
 
 def op2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    # the text's SHA-256 goes along in its place
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").withColumn("sha", text_hash(F.col("text")))
     model = load()
-    out = decode(encode(docs, model=model), model=model)
-    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", (F.col("decoded") == C.empty_text(F.col("text"))).alias("round_trip"))
+    out = decode(encode(docs, model=model, keep=["doc_id", "sha"]), model=model)
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", (text_hash(F.col("decoded")) == F.col("sha")).alias("round_trip"))
+
+
+def text_hash(text: Column) -> Column:
+    """SHA-256, as bytes."""
+    return F.unhex(F.sha2(C.empty_text(text).cast("binary"), 256))

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 BROADCAST_ROWS = 250_000
 
 _own_dir: list[str] = []
-_written: list[str] = []
+_written: dict[str, DataFrame] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,18 +32,26 @@ def written(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path, compression=codec)
-    _written.append(path)
-    return spark.read.schema(T.StructType([T.StructField(f.name, f.dataType) for f in df.schema])).parquet(path)
+    out = spark.read.schema(T.StructType([T.StructField(f.name, f.dataType) for f in df.schema])).parquet(path)
+    _written[path] = out
+    # shuffle files of the write go when the driver's objects for them do
+    spark._jvm.System.gc()
+    return out
 
 
-def forget(spark: SparkSession) -> int:
-    """Delete the tables written so far; results that were not stored yet can no longer be read. How many there were."""
-    n = len(_written)
-    for path in _written:
+def forget(spark: SparkSession, *tables: DataFrame) -> int:
+    """Delete written tables that nothing reads any more (those given, or all so far). How many there were."""
+    gone = [p for p, t in _written.items() if not tables or any(t is x for x in tables)]
+    for path in gone:
         at = spark._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-    _written.clear()
-    return n
+        del _written[path]
+    return len(gone)
+
+
+def planned_bytes(df: DataFrame) -> int:
+    """The planner's estimate of a table's size."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
 def empty_text(col: Column) -> Column:

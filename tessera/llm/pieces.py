@@ -4,19 +4,18 @@ Text is cut into *units* no piece crosses: letters, or other characters, with th
 a lattice on the cluster: their substrings of up to the longest piece are exploded, equi-joined to the piece table (its
 size is the model's), grouped by unit again, and a higher-order ``aggregate`` folds Viterbi's table over the positions.
 
-The model at hand is of the BPE kind, whose encoding is no maximum of a sum of scores. Its best path is defined by pairs:
-at each position exactly one piece can end the encoding of the prefix, the one that is compatible with the piece before
-it. Two adjacent pieces are compatible unless some piece across their boundary would have been merged first: one made of
-a part on the right edge of the left piece's merge tree and a part on the left edge of the right one's, with a better rank
-than the merges that used these parts up. Each edge of the lattice carries the ranks of these merges by length, and the
-pieces across the boundary are edges too, so the fold needs nothing else. The result is the library's own.
+The model at hand is of the BPE kind, whose encoding is no maximum of a sum of scores, so no score is summed: the best
+path is the one that merging by rank leaves. The fold takes the edges of a unit by rank and place, and its state is the set
+of boundaries that still stand, as bits. An edge whose two ends stand, with one more boundary between them, is a merge, and
+takes that one away. One pass does it, since no piece of the model is made of pieces that are merged after it
+(:func:`piece_table` refuses a model with such a piece). The edges that are left between two boundaries next to each other
+are the path. The result is the library's own.
 
 Documents become codes, in chunks of ``CHUNK`` or more: places in a dictionary of the ``KNOWN`` most frequent units, which
 goes along with each task, and running numbers for the chunk's other units. Those units alone are joined to the lattice's
 table, and their ids go back to the chunk. Units are compared as text throughout. Text is read twice and never shuffled.
 
-Memory: a unit without a cut in it, such as a run of one sign, is one group of the lattice (some 16 edges a character);
-its fold is linear in its length, and slow: under a millisecond a character.
+Memory: a unit without a cut in it, such as a run of one sign, is one group of the lattice (up to 16 edges a character).
 
 Defined results. Null and empty texts have no tokens. Characters that the model lacks become the model's byte pieces.
 Decoding joins pieces and drops the space that encoding adds in front; it gives the text back, but for the character
@@ -28,6 +27,7 @@ decode to nothing. Null ids give null. Repeated rows give equal ids. Empty table
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -51,11 +51,14 @@ CHUNK = 1 << 16
 TASK_WORDS = 400_000
 NEVER = 2**31 - 1
 #: Units longer than this are cut further where no piece has both characters side by side.
+#: Those of fewer than LONG characters have their boundaries in one word.
 LONG = 48
-#: Ids of a unit that are copied as one.
+#: Characters of a block of a unit; boundaries of a word of them.
 RUN = 256
-#: Units of one task's lattice, on average.
-TASK_UNITS = 20_000
+BLOCK = 32
+#: Bytes of the input, as planned, for one task of the lattice, and the most tasks.
+TASK_BYTES = 4 << 20
+MOST_TASKS = 50_000
 STEPS = 16
 
 
@@ -106,31 +109,26 @@ def load(path: str = MODEL) -> Model:
     return Model(rank, ids, byte_ids, text)
 
 
-def edges_of(piece: str, rank: dict[str, int]) -> tuple[list[int], list[int]] | None:
-    """Of a piece's merge tree, for parts on its left and on its right edge by length: rank of the merge that used the part up (NEVER: the piece itself; -1: no such part). None: merging its characters does not give the piece."""
-    nodes: list[tuple] = [(c, None, None) for c in piece]
-    while len(nodes) > 1:
-        r, i = min((rank.get(x[0] + y[0], NEVER), i) for i, (x, y) in enumerate(zip(nodes, nodes[1:])))
+def merge_ranks(piece: str, rank: dict[str, int]) -> list[int] | None:
+    """Ranks of the merges that make a piece of its characters, in the order they are done. None: merging does not give the piece."""
+    parts, out = list(piece), []
+    while len(parts) > 1:
+        r, i = min((rank.get(x + y, NEVER), i) for i, (x, y) in enumerate(zip(parts, parts[1:])))
         if r == NEVER:
             return None
-        nodes[i : i + 2] = [(nodes[i][0] + nodes[i + 1][0], nodes[i], nodes[i + 1])]
-    out = []
-    for side in (1, 2):
-        by_length = [-1] * (len(piece) + 1)
-        node, used = nodes[0], NEVER
-        while node is not None:
-            by_length[len(node[0])] = used
-            used, node = rank.get(node[0], NEVER), node[side]
-        out.append(by_length)
-    return out[0], out[1]
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        out.append(r)
+    return out
 
 
 def piece_table(spark: SparkSession, model: Model) -> DataFrame:
     rows = []
     for piece, r in model.rank.items():
-        if (sides := edges_of(piece, model.rank)) is not None:
-            rows.append((piece, model.ids[piece], r, *sides))
-    return spark.createDataFrame(rows, "piece string, id int, r int, ls array<int>, rs array<int>")
+        if (ranks := merge_ranks(piece, model.rank)) is not None:
+            if ranks and max(ranks) != r:
+                raise ValueError(f"piece {model.ids[piece]} is made of pieces that are merged after it")
+            rows.append((piece, model.ids[piece], r))
+    return spark.createDataFrame(rows, "piece string, id int, r int")
 
 
 def _unit_pattern(odd: str) -> re.Pattern:
@@ -176,18 +174,15 @@ def units_of(word: str, cut: tuple[re.Pattern, set[str]]) -> list[str]:
     return out
 
 
-def unit_counts(texts: DataFrame, model: Model) -> DataFrame:
-    """texts (text) -> (unit, c)."""
+def unit_counts(texts: DataFrame, model: Model, tasks: int) -> DataFrame:
+    """texts (text) -> (h, unit, c), partitioned by h, a hash of the unit. Words are counted by built-in functions; only distinct ones are cut in units."""
     shared = texts.sparkSession.sparkContext.broadcast(model.cut)
+    spaced = F.concat(F.lit(" "), F.translate("text", SPACE, " "))
+    # a word stands for a space and itself: the text, with a space in front, is cut at the first space of each run
+    words = texts.filter("text <> ''").select(F.explode(F.slice(F.split(spaced, "(?<! ) ", -1), 2, 2**31 - 1)).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut, words, counts = shared.value, Counter(), Counter()
-
-        def to_units() -> None:
-            for w, n in words.items():
-                for u in units_of(w, cut):
-                    counts[u] += n
-            words.clear()
+        cut, counts = shared.value, Counter()
 
         def flushed() -> pa.RecordBatch:
             out = pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], names=["unit", "n"])
@@ -195,17 +190,16 @@ def unit_counts(texts: DataFrame, model: Model) -> DataFrame:
             return out
 
         for batch in batches:
-            for x in batch.column(0):
-                words.update(words_of(x.as_py()))
-                if len(words) > 200_000:
-                    to_units()
-                    if len(counts) > TASK_WORDS:
-                        yield flushed()
-        to_units()
+            for w, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for u in units_of(w.replace(" ", SPACE), cut):
+                    counts[u] += n
+            if len(counts) > TASK_WORDS:
+                yield flushed()
         if counts:
             yield flushed()
 
-    return texts.mapInArrow(run, "unit string, n bigint").groupBy("unit").agg(F.sum("n").alias("c"))
+    counted = words.mapInArrow(run, "unit string, n bigint").withColumn("h", F.xxhash64("unit"))
+    return counted.repartition(tasks, "h").groupBy("h", "unit").agg(F.sum("n").alias("c"))
 
 
 def reaches(pieces: DataFrame, model: Model) -> DataFrame:
@@ -214,59 +208,51 @@ def reaches(pieces: DataFrame, model: Model) -> DataFrame:
 
 
 def lattice(units: DataFrame, pieces: DataFrame, reach: DataFrame, model: Model) -> DataFrame:
-    """units (k, unit, c), numbered by k and partitioned by it -> (unit, c, ids)."""
-    # rows carry the unit's number; the unit itself goes with its first edge only. A long unit is cut in blocks first
-    blocks = units.select("k", "unit", "c", F.explode(F.expr(f"sequence(0, length(unit) - 1, {RUN})")).alias("from"))
-    blocks = blocks.select("k", "from", F.when(F.col("from") == 0, F.struct("unit", "c")).alias("own"), F.expr(f"substring(unit, from + 1, {RUN + model.longest})").alias("part"))
-    edges = blocks.select("k", "from", "own", "part", F.explode(F.expr(f"sequence(0, least({RUN}, length(part)) - 1)")).alias("at"))
-    edges = edges.select("k", (F.col("from") + F.col("at")).alias("a"), F.when(F.col("at") == 0, F.col("own")).alias("own"), F.expr(f"substring(part, at + 1, {model.longest})").alias("near"))
+    """units (h, unit, c) partitioned by h -> (unit, c, ids)."""
+    # rows carry a number; the unit itself goes with its first edge only. A long unit is cut in blocks first
+    units = units.withColumn("k", F.monotonically_increasing_id())
+    blocks = units.select("h", "k", "unit", "c", F.length("unit").alias("n"), F.explode(F.expr(f"sequence(0, length(unit) - 1, {RUN})")).alias("from"))
+    blocks = blocks.select("h", "k", "n", "from", F.when(F.col("from") == 0, F.struct("unit", "c")).alias("own"), F.expr(f"substring(unit, from + 1, {RUN + model.longest})").alias("part"))
+    edges = blocks.select("h", "k", "n", "from", "own", "part", F.explode(F.expr(f"sequence(0, least({RUN}, length(part)) - 1)")).alias("at"))
+    edges = edges.select("h", "k", "n", (F.col("from") + F.col("at")).alias("a"), F.when(F.col("at") == 0, F.col("own")).alias("own"), F.expr(f"substring(part, at + 1, {model.longest})").alias("near"))
     edges = edges.withColumn("two", F.substring("near", 1, 2)).join(F.broadcast(reach), "two", "left")
-    edges = edges.select("k", "a", "near", "own", F.explode(F.expr("sequence(1, least(length(near), coalesce(reach, 1)))")).alias("n"))
-    edges = edges.select("k", "a", (F.col("a") + F.col("n")).alias("b"), F.when(F.col("n") == 1, F.col("own")).alias("own"), F.expr("substring(near, 1, n)").alias("piece"))
-    edges = edges.join(F.broadcast(pieces), "piece", "left").filter("id IS NOT NULL OR b = a + 1")
+    edges = edges.select("h", "k", "n", "a", "near", "own", F.explode(F.expr("sequence(1, least(length(near), coalesce(reach, 1)))")).alias("long"))
+    edges = edges.select("h", "k", "n", "a", "long", F.when(F.col("long") == 1, F.col("own")).alias("own"), F.expr("substring(near, 1, long)").alias("piece"))
+    edges = edges.join(F.broadcast(pieces), "piece", "left").filter("id IS NOT NULL OR long = 1")
     # a character that is no piece is an edge that nothing merges with, and its ids are those of its bytes
     byte_ids = ", ".join(map(str, model.byte_ids))
     of_bytes = f"transform(sequence(1, octet_length(piece)), k -> element_at(array({byte_ids}), 1 + cast(conv(substring(hex(piece), 2 * k - 1, 2), 16, 10) AS int)))"
-    edge = F.expr(f"struct(b, a, coalesce(r, {NEVER}) AS r, coalesce(ls, array(-1, {NEVER})) AS ls, coalesce(rs, array(-1, {NEVER})) AS rs, if(id IS NULL, {of_bytes}, array(id)) AS ids)")
-    words = edges.groupBy("k").agg(F.first("own", ignorenulls=True).alias("own"), F.sort_array(F.collect_list(edge)).alias("edges"))
-    folded = F.when(F.length("own.unit") <= LONG, F.expr(_fold_all())).otherwise(F.expr(_fold_near()))
-    return words.select("own.unit", "own.c", folded.alias("ids"))
-
-
-def _fold_all() -> str:
-    """Ids of a unit's ``edges``, which come by their end. The table holds, for each position, the ids of the prefix's encoding and the right edge of its last piece."""
-    kind = "struct<ids:array<int>,rs:array<int>>"
-    start = f"array(cast(struct(array(), array(0)) AS {kind}))"
-    across = "c.a < e.a AND c.b > e.a AND c.r < coalesce(get(get(acc, e.a).rs, e.a - c.a), -1) AND c.r <= coalesce(get(e.ls, c.b - e.a), -1)"
-    fits = f"get(acc, e.a) IS NOT NULL AND (e.a = 0 OR NOT exists(long, c -> {across}))"
-    # positions that no piece ends at stay null
-    padded = f"if(size(acc) < e.b, concat(acc, array_repeat(cast(null AS {kind}), e.b - size(acc))), acc)"
-    step = f"CASE WHEN size(acc) > e.b THEN acc WHEN {fits} THEN array_append({padded}, struct(concat(get(acc, e.a).ids, e.ids) AS ids, e.rs AS rs)) ELSE acc END"
-    return f"get(transform(array(filter(edges, e -> e.b > e.a + 1)), long -> aggregate(edges, {start}, (acc, e) -> {step}, acc -> element_at(acc, -1).ids)), 0)"
-
-
-def _fold_near() -> str:
-    """The same for a unit of any length: the state holds only what lies about the position, so the work is linear.
-
-    Edges come by their start. All that cross a boundary start before it; those that the piece to the left of it would not
-    have merged first are picked once for the position. Ids are held in full runs of ``RUN`` and a last one.
-    """
-    ends, near = "array<struct<at:int,runs:array<array<int>>,last:array<int>,rs:array<int>>>", "array<struct<a:int,b:int,r:int>>"
-    state = f"struct<at:int,left:{ends[6:-1]},open:{near},first:{near},here:{near},ends:{ends}>"
-    start = f"cast(struct(0, struct(0, array(), array(), array(0)), array(), array(), array(), array()) AS {state})"
-    # what changes where edges start at the next position, and what an edge adds
-    to_left = "get(filter(s.ends, x -> x.at = e.a), 0)"
-    opened = "filter(concat(s.open, s.here), c -> c.b > e.a)"
-    moved = f"get(transform(array(struct({to_left} AS left, {opened} AS open)), m -> struct(e.a AS at, m.left AS left, m.open AS open, filter(m.open, c -> c.r < get(m.left.rs, e.a - c.a)) AS first, slice(s.here, 1, 0) AS here, filter(s.ends, x -> x.at > e.a) AS ends)), 0)"
-    across = "coalesce(exists(t.first, c -> c.r <= get(e.ls, c.b - e.a)), false)"
-    full = f"size(t.left.last) >= {RUN}"
-    end = f"struct(e.b AS at, if({full}, array_append(t.left.runs, t.left.last), t.left.runs) AS runs, if({full}, e.ids, concat(t.left.last, e.ids)) AS last, e.rs AS rs)"
-    here = "if(e.b = e.a + 1, t.here, array_append(t.here, struct(e.a AS a, e.b AS b, e.r AS r)))"
-    added = f"struct(t.at AS at, t.left AS left, t.open AS open, t.first AS first, {here} AS here, if(t.left IS NULL OR {across}, t.ends, array_append(t.ends, {end})) AS ends)"
-    step = f"get(transform(array(if(e.a = s.at, s, {moved})), t -> {added}), 0)"
-    finish = "get(transform(filter(s.ends, x -> x.at = length(own.unit)), x -> flatten(array_append(x.runs, x.last))), 0)"
-    by_start = "transform(sort_array(transform(edges, e -> struct(e.a AS a, e.b AS b, e.r AS r, e.ls AS ls, e.rs AS rs, e.ids AS ids))), e -> e)"
-    return f"aggregate({by_start}, {start}, (s, e) -> {step}, s -> {finish})"
+    # bits of an edge's two boundaries and of those inside it, in the unit's word of boundaries, or from its block of them on
+    edges = edges.withColumn("low", F.expr(f"if(n < {LONG}, a, a % {BLOCK})"))
+    both = F.expr("shiftleft(1L, low) | shiftleft(1L, low + long)")
+    inside = F.expr("shiftleft(shiftleft(1L, long - 1) - 1L, low + 1)")
+    edge = F.struct(F.coalesce("r", F.lit(NEVER)).alias("r"), "a", both.alias("both"), inside.alias("inside"), F.expr(f"if(id IS NULL, {of_bytes}, array(id))").alias("ids"))
+    words = edges.groupBy("h", "k").agg(F.first("own", ignorenulls=True).alias("own"), F.sort_array(F.collect_list(edge)).alias("edges"))
+    tokens = F.when(F.length("own.unit") < LONG, F.expr(_fold_word())).otherwise(F.expr(_fold_blocks()))
+    return words.select("own.unit", "own.c", F.flatten(F.transform(F.sort_array(tokens), lambda t: t["ids"])).alias("ids"))
+
+
+#: Whether an edge can be merged, where w are the boundaries about it: its ends are boundaries, and one more inside it. And whether it is a token: none inside.
+_MERGES = "(w & e.both) = e.both AND bit_count(w & e.inside) = 1"
+_IS_TOKEN = "(w & e.both) = e.both AND (w & e.inside) = 0"
+_TOKEN = "struct(e.a AS a, e.ids AS ids)"
+
+
+def _fold_word() -> str:
+    """Tokens (a, ids) of a unit whose ``edges`` come by rank and place: at first all boundaries stand, and an edge that can be merged takes the one inside it away. All boundaries are one word of 64 bits."""
+    fold = f"aggregate(edges, shiftleft(1L, length(own.unit) + 1) - 1L, (w, e) -> if({_MERGES}, w & ~e.inside, w))"
+    return f"get(transform(array({fold}), w -> transform(filter(edges, e -> {_IS_TOKEN}), e -> {_TOKEN})), 0)"
+
+
+def _fold_blocks() -> str:
+    """The same for a unit of any length, with the boundaries in an array of words of ``BLOCK`` bits."""
+    n = "length(own.unit)"
+    start = f"transform(sequence(0, {n} div {BLOCK} + 1), i -> shiftleft(1L, least({BLOCK}, greatest(0, {n} + 1 - i * {BLOCK}))) - 1L)"
+    near = f"get(s, e.a div {BLOCK}) | shiftleft(get(s, e.a div {BLOCK} + 1), {BLOCK})"
+    put = f"concat(slice(s, 1, e.a div {BLOCK}), array(w & (shiftleft(1L, {BLOCK}) - 1L) & ~e.inside, shiftrightunsigned(w & ~e.inside, {BLOCK})), slice(s, e.a div {BLOCK} + 3, size(s)))"
+    fold = f"aggregate(edges, {start}, (s, e) -> get(transform(array({near}), w -> if({_MERGES}, {put}, s)), 0))"
+    is_token = f"get(transform(array({near}), w -> {_IS_TOKEN}), 0)"
+    return f"get(transform(array({fold}), s -> transform(filter(edges, e -> {is_token}), e -> {_TOKEN})), 0)"
 
 
 @dataclass
@@ -324,7 +310,7 @@ class _Codes(dict):
             rare, n = self.rare, len(self.known)
             codes = [c if c >= 0 else n + rare.setdefault(u, len(rare)) for u, c in zip(units, codes)]
             self.passing.append(word)
-        self[word] = out = np.array(codes, "<u4").tobytes()
+        self[word] = out = array("I", codes).tobytes()
         return out
 
     def next_chunk(self) -> list[str]:
@@ -352,12 +338,10 @@ def _unpacked(packed: bytes) -> np.ndarray:
 def encode(df: DataFrame, text_col: str = "text", out_col: str = "ids", model: Model | None = None, known: int = KNOWN, keep: list[str] | None = None) -> DataFrame:
     """``df`` with the token ids of its text. ``keep``: the columns that go along (all of them); a text that is not kept is read and never written or shuffled."""
     spark, model = df.sparkSession, model or load()
-    units = C.written(unit_counts(C.only(df, text=text_col), model), "units")
-    n = units.count()
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n // TASK_UNITS)
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(C.planned_bytes(df) // TASK_BYTES, MOST_TASKS))
     pieces = piece_table(spark, model)
-    numbered = units.withColumn("k", F.monotonically_increasing_id()).repartition(tasks, "k")
-    encoded = C.written(lattice(numbered, pieces, reaches(pieces, model), model), "encoded")
+    units = unit_counts(C.only(df, text=text_col), model, tasks)
+    encoded = C.written(lattice(units, pieces, reaches(pieces, model), model), "encoded", "zstd")
     words = dictionary(encoded, known)
     n_known = len(words.units)
     shared = spark.sparkContext.broadcast((words.units, model.cut))
@@ -389,6 +373,8 @@ def encode(df: DataFrame, text_col: str = "text", out_col: str = "ids", model: M
     asked = table.select("chunk", F.posexplode("rare").alias("at", "unit"))
     rare = encoded.filter(_step() < words.least) if words.least is not None else encoded
     found = asked.join(rare.select("unit", "ids"), "unit").groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("at", "ids"))).alias("found"))
+    found = C.written(found, "found", "zstd")
+    C.forget(spark, encoded)
     whole = table.select("chunk", "rows", "lengths", "codes", F.size("rare").alias("n_rare")).join(found, "chunk", "left")
     lists = spark.sparkContext.broadcast((words.ids, words.starts))
 

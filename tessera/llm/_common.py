@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,6 +41,41 @@ def written(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     return out
 
 
+def bucket_numbers(part: int, buckets: int) -> Iterator[int]:
+    """Numbers that only task ``part`` draws, all of which Spark puts in bucket ``part % buckets``."""
+    at = part << 36
+    while True:
+        x = np.arange(at, at + 4 * buckets, dtype=np.int64)
+        for k in np.flatnonzero(_murmur3(x) % buckets == part % buckets).tolist():
+            yield int(x[k])
+        at += 4 * buckets
+
+
+def _murmur3(x: np.ndarray) -> np.ndarray:
+    """Spark's hash of longs (Murmur3 of two 32-bit halves, seed 42), as non-negative residues can be taken of it."""
+    mask = np.uint64(0xFFFFFFFF)
+    turn = lambda v, r: ((v << np.uint64(r)) | (v >> np.uint64(32 - r))) & mask
+    h = np.full(len(x), 42, np.uint64)
+    for half in (x.view(np.uint64) & mask, x.view(np.uint64) >> np.uint64(32)):
+        k = turn(half * np.uint64(0xCC9E2D51) & mask, 15) * np.uint64(0x1B873593) & mask
+        h = (turn(h ^ k, 13) * np.uint64(5) + np.uint64(0xE6546B64)) & mask
+    h ^= np.uint64(8)
+    for shift, by in ((16, 0x85EBCA6B), (13, 0xC2B2AE35), (16, 1)):
+        h = (h ^ (h >> np.uint64(shift))) * np.uint64(by) & mask
+    return h.astype(np.uint32).view(np.int32).astype(np.int64)
+
+
+def written_buckets(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+    """Like :func:`written`, as a table in buckets of ``key``: a join by it does not shuffle this side."""
+    spark = df.sparkSession
+    path, table = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", f"{name}_{uuid.uuid4().hex}"
+    df.write.bucketBy(buckets, key).option("path", path).option("compression", "zstd").format("parquet").saveAsTable(table)
+    out = spark.table(table)
+    _written[path] = out
+    spark._jvm.System.gc()
+    return out
+
+
 def forget(spark: SparkSession, *tables: DataFrame) -> int:
     """Delete written tables that nothing reads any more (those given, or all so far). How many there were."""
     gone = [p for p, t in _written.items() if not tables or any(t is x for x in tables)]
@@ -50,8 +87,9 @@ def forget(spark: SparkSession, *tables: DataFrame) -> int:
 
 
 def planned_bytes(df: DataFrame) -> int:
-    """The planner's estimate of a table's size."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    """The planner's estimate of a table's size; 0 if it has none."""
+    n = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return n if n < 1 << 60 else 0
 
 
 def empty_text(col: Column) -> Column:

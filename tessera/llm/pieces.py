@@ -26,6 +26,7 @@ decode to nothing. Null ids give null. Repeated rows give equal ids. Empty table
 
 from __future__ import annotations
 
+import gc
 import re
 from array import array
 from collections import Counter
@@ -48,7 +49,7 @@ SPACE = "▁"
 KNOWN = 1 << 19
 #: Codes of a chunk, from which on it ends; distinct units that a task counts at a time.
 CHUNK = 1 << 16
-TASK_WORDS = 400_000
+TASK_WORDS = 300_000
 NEVER = 2**31 - 1
 #: Units longer than this are cut further where no piece has both characters side by side.
 #: Those of fewer than LONG characters have their boundaries in one word.
@@ -83,7 +84,7 @@ class Model:
         self.pairs = {p[i : i + 2] for p in self.rank for i in range(len(p) - 1)}
         odd = "".join(sorted({c for p in self.rank for c in p if c.isalnum() and not c.isalpha() and not re.match(r"\d", c)}))
         self.pattern = _unit_pattern(odd)
-        if any(SPACE in p.lstrip(SPACE) or len(self.pattern.findall(p)) > 1 for p in self.rank):
+        if any(" " in p.lstrip(" ") or len(self.pattern.findall(p)) > 1 for p in self.rank):
             raise ValueError("the model has pieces across units")
 
 
@@ -102,8 +103,9 @@ def load(path: str = MODEL) -> Model:
         elif m.is_control(i) or m.is_unknown(i):
             text.append(None)
         else:
+            piece = piece.replace(SPACE, " ")
             rank[piece], ids[piece] = min(NEVER - 1, int(-m.get_score(i))), i
-            text.append(piece.replace(SPACE, " ").encode())
+            text.append(piece.encode())
     if 0 in byte_ids:
         raise ValueError("the model has no byte pieces")
     return Model(rank, ids, byte_ids, text)
@@ -134,7 +136,7 @@ def piece_table(spark: SparkSession, model: Model) -> DataFrame:
 def _unit_pattern(odd: str) -> re.Pattern:
     """Letters, or everything else but spaces and line feeds, each with the spaces before it. odd: numbers that the pattern for letters would take in."""
     odd = re.escape(odd)
-    return re.compile(f"{SPACE}*[^\\W\\d_{odd}]+|{SPACE}*(?:[^\\w{SPACE}\n]|[\\d_{odd}])+|{SPACE}+|\n")
+    return re.compile(f" *[^\\W\\d_{odd}]+| *(?:[^\\w \n]|[\\d_{odd}])+| +|\n")
 
 
 def words_of(text: str | None) -> list[str]:
@@ -147,17 +149,17 @@ def words_of(text: str | None) -> list[str]:
     out, spaces = [], 0
     for w in words:
         if w:
-            out.append(SPACE * spaces + w)
+            out.append(" " * spaces + w)
             spaces = 0
         else:
             spaces += 1
-    return [*out, SPACE * (spaces - 1)] if spaces else out
+    return [*out, " " * (spaces - 1)] if spaces else out
 
 
 def units_of(word: str, cut: tuple[re.Pattern, set[str]]) -> list[str]:
     """Units of a word and the space before it. cut: the model's pattern of units, and its pairs of characters."""
     pattern, pairs = cut
-    found = pattern.findall(SPACE + word)
+    found = pattern.findall(" " + word)
     if len(word) < LONG or max(map(len, found)) <= LONG:
         return found
     out = []
@@ -175,14 +177,18 @@ def units_of(word: str, cut: tuple[re.Pattern, set[str]]) -> list[str]:
 
 
 def unit_counts(texts: DataFrame, model: Model, tasks: int) -> DataFrame:
-    """texts (text) -> (h, unit, c), partitioned by h, a hash of the unit. Words are counted by built-in functions; only distinct ones are cut in units."""
+    """texts (text) -> (h, unit, c), partitioned by h, a hash of the unit."""
     shared = texts.sparkSession.sparkContext.broadcast(model.cut)
-    spaced = F.concat(F.lit(" "), F.translate("text", SPACE, " "))
-    # a word stands for a space and itself: the text, with a space in front, is cut at the first space of each run
-    words = texts.filter("text <> ''").select(F.explode(F.slice(F.split(spaced, "(?<! ) ", -1), 2, 2**31 - 1)).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut, counts = shared.value, Counter()
+        cut, words, counts = shared.value, Counter(), Counter()
+        gc.disable()  # nothing here is in a cycle, and the collector would walk the counters
+
+        def to_units() -> None:
+            for w, n in words.items():
+                for u in units_of(w, cut):
+                    counts[u] += n
+            words.clear()
 
         def flushed() -> pa.RecordBatch:
             out = pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], names=["unit", "n"])
@@ -190,15 +196,17 @@ def unit_counts(texts: DataFrame, model: Model, tasks: int) -> DataFrame:
             return out
 
         for batch in batches:
-            for w, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for u in units_of(w.replace(" ", SPACE), cut):
-                    counts[u] += n
-            if len(counts) > TASK_WORDS:
-                yield flushed()
+            for x in batch.column(0):
+                words.update(words_of(x.as_py()))
+                if len(words) > TASK_WORDS:
+                    to_units()
+                    if len(counts) > TASK_WORDS:
+                        yield flushed()
+        to_units()
         if counts:
             yield flushed()
 
-    counted = words.mapInArrow(run, "unit string, n bigint").withColumn("h", F.xxhash64("unit"))
+    counted = texts.mapInArrow(run, "unit string, n bigint").withColumn("h", F.xxhash64("unit"))
     return counted.repartition(tasks, "h").groupBy("h", "unit").agg(F.sum("n").alias("c"))
 
 
@@ -339,6 +347,7 @@ def encode(df: DataFrame, text_col: str = "text", out_col: str = "ids", model: M
     """``df`` with the token ids of its text. ``keep``: the columns that go along (all of them); a text that is not kept is read and never written or shuffled."""
     spark, model = df.sparkSession, model or load()
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(C.planned_bytes(df) // TASK_BYTES, MOST_TASKS))
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), tasks // 4)
     pieces = piece_table(spark, model)
     units = unit_counts(C.only(df, text=text_col), model, tasks)
     encoded = C.written(lattice(units, pieces, reaches(pieces, model), model), "encoded", "zstd")
@@ -353,7 +362,8 @@ def encode(df: DataFrame, text_col: str = "text", out_col: str = "ids", model: M
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         units, cut = shared.value
         look = _Codes({u: i for i, u in enumerate(units.to_pylist())}, cut)
-        part, seq = TaskContext.get().partitionId(), 0
+        numbers = C.bucket_numbers(TaskContext.get().partitionId(), buckets)
+        gc.disable()
         for batch in batches:
             texts, rows, at = batch.column(0), batch.column(1), 0
             while at < batch.num_rows:
@@ -364,11 +374,11 @@ def encode(df: DataFrame, text_col: str = "text", out_col: str = "ids", model: M
                     lengths.append(len(codes[-1]) // 4)
                     size += lengths[-1]
                     at += 1
-                made = [pa.array([(part << 33) | seq]), pa.ListArray.from_arrays(pa.array([0, at - first], pa.int32()), rows.slice(first, at - first)), pa.array([lengths], pa.list_(pa.int32())), pa.array([_packed(codes)], pa.binary()), pa.array([look.next_chunk()], pa.list_(pa.string()))]
-                seq += 1
+                made = [pa.array([next(numbers)]), pa.ListArray.from_arrays(pa.array([0, at - first], pa.int32()), rows.slice(first, at - first)), pa.array([lengths], pa.list_(pa.int32())), pa.array([_packed(codes)], pa.binary()), pa.array([look.next_chunk()], pa.list_(pa.string()))]
                 yield pa.RecordBatch.from_arrays(made, names=["chunk", "rows", "lengths", "codes", "rare"])
 
-    table = C.written(base.mapInArrow(chunks, f"chunk bigint, rows array<{row_type}>, lengths array<int>, codes binary, rare array<string>"), "chunks", "zstd")
+    # a task's chunks are one bucket of the table, so they meet what comes back to them without a shuffle
+    table = C.written_buckets(base.mapInArrow(chunks, f"chunk bigint, rows array<{row_type}>, lengths array<int>, codes binary, rare array<string>"), "chunks", "chunk", buckets)
     # what the dictionary lacks is joined by unit (a rare one, so no key is hot), and goes back to its chunk
     asked = table.select("chunk", F.posexplode("rare").alias("at", "unit"))
     rare = encoded.filter(_step() < words.least) if words.least is not None else encoded

@@ -26,9 +26,7 @@ decode to nothing. Null ids give null. Repeated rows give equal ids. Empty table
 
 from __future__ import annotations
 
-import gc
 import re
-from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -45,11 +43,11 @@ from . import _common as C
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-#: Units of the dictionary that goes along with each task, at most (some 6 MB; the same at any size of the corpus).
-KNOWN = 1 << 19
+#: Units of the dictionary that goes along with each task, at most (some 3 MB; the same at any size of the corpus).
+KNOWN = 1 << 18
 #: Codes of a chunk, from which on it ends; distinct units that a task counts at a time.
 CHUNK = 1 << 16
-TASK_WORDS = 300_000
+TASK_WORDS = 200_000
 NEVER = 2**31 - 1
 #: Units longer than this are cut further where no piece has both characters side by side.
 #: Those of fewer than LONG characters have their boundaries in one word.
@@ -159,6 +157,8 @@ def words_of(text: str | None) -> list[str]:
 def units_of(word: str, cut: tuple[re.Pattern, set[str]]) -> list[str]:
     """Units of a word and the space before it. cut: the model's pattern of units, and its pairs of characters."""
     pattern, pairs = cut
+    if len(word) < LONG and word.isalpha():
+        return [" " + word]
     found = pattern.findall(" " + word)
     if len(word) < LONG or max(map(len, found)) <= LONG:
         return found
@@ -182,7 +182,6 @@ def unit_counts(texts: DataFrame, model: Model, tasks: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut, words, counts = shared.value, Counter(), Counter()
-        gc.disable()  # nothing here is in a cycle, and the collector would walk the counters
 
         def to_units() -> None:
             for w, n in words.items():
@@ -305,20 +304,26 @@ def _gathered(at: np.ndarray, flat: np.ndarray, starts: np.ndarray) -> tuple[np.
 
 
 class _Codes(dict):
-    """Codes (bytes of uint32) of words: places in the dictionary, or numbers from its size on for units that it lacks, in the order they come up. Words without such units are remembered from chunk to chunk."""
+    """Codes (bytes of uint32) of words: places in the dictionary, or numbers from its size on for units that it lacks, in the order they come up.
 
-    def __init__(self, known: dict[str, int], cut: tuple, room: int = 300_000):
+    It holds the words that are one unit of the dictionary, and remembers up to ``room`` others that have only such units.
+    """
+
+    def __init__(self, known: list[str], cut: tuple, room: int = 150_000):
         super().__init__()
-        self.known, self.cut, self.room, self.rare, self.passing = known, cut, room, {}, []
+        self.known = {u: i.to_bytes(4, "little") for i, u in enumerate(known)}
+        self.own = {u[1:]: c for u, c in self.known.items() if u[0] == " " and len(u) <= LONG and u[1:].isalpha()}
+        self.update(self.own)
+        self.cut, self.room, self.rare, self.passing = cut, room, {}, []
 
     def __missing__(self, word: str) -> bytes:
-        units = units_of(word, self.cut)
-        codes = [self.known.get(u, -1) for u in units]
-        if -1 in codes:
-            rare, n = self.rare, len(self.known)
-            codes = [c if c >= 0 else n + rare.setdefault(u, len(rare)) for u, c in zip(units, codes)]
+        codes = [self.known.get(u) or u for u in units_of(word, self.cut)]
+        lacking = [i for i, c in enumerate(codes) if isinstance(c, str)]
+        for i in lacking:
+            codes[i] = (len(self.known) + self.rare.setdefault(codes[i], len(self.rare))).to_bytes(4, "little")
+        if lacking:
             self.passing.append(word)
-        self[word] = out = array("I", codes).tobytes()
+        self[word] = out = b"".join(codes)
         return out
 
     def next_chunk(self) -> list[str]:
@@ -328,8 +333,9 @@ class _Codes(dict):
         for w in self.passing:
             self.pop(w, None)
         self.passing = []
-        if len(self) > self.room:
+        if len(self) > len(self.own) + self.room:
             self.clear()
+            self.update(self.own)
         return out
 
 
@@ -361,9 +367,8 @@ def encode(df: DataFrame, text_col: str = "text", out_col: str = "ids", model: M
 
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         units, cut = shared.value
-        look = _Codes({u: i for i, u in enumerate(units.to_pylist())}, cut)
+        look = _Codes(units.to_pylist(), cut)
         numbers = C.bucket_numbers(TaskContext.get().partitionId(), buckets)
-        gc.disable()
         for batch in batches:
             texts, rows, at = batch.column(0), batch.column(1), 0
             while at < batch.num_rows:

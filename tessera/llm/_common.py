@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 import numpy as np
@@ -29,15 +30,29 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dir[0]
 
 
+@contextmanager
+def _short_lived_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of a write are deleted when it ends: what it wrote is read from now on."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before) if before is not None else spark.conf.unset(name)
+
+
+def _table_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage is cut, and a lost executor costs no recomputation."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path, compression=codec)
-    out = spark.read.schema(T.StructType([T.StructField(f.name, f.dataType) for f in df.schema])).parquet(path)
-    _written[path] = out
-    # shuffle files of the write go when the driver's objects for them do
-    spark._jvm.System.gc()
+    path = _table_path(spark, name)
+    with _short_lived_shuffles(spark):
+        df.write.parquet(path, compression=codec)
+    _written[path] = out = spark.read.schema(T.StructType([T.StructField(f.name, f.dataType) for f in df.schema])).parquet(path)
     return out
 
 
@@ -68,11 +83,10 @@ def _murmur3(x: np.ndarray) -> np.ndarray:
 def written_buckets(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
     """Like :func:`written`, as a table in buckets of ``key``: a join by it does not shuffle this side."""
     spark = df.sparkSession
-    path, table = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", f"{name}_{uuid.uuid4().hex}"
-    df.write.bucketBy(buckets, key).option("path", path).option("compression", "zstd").format("parquet").saveAsTable(table)
-    out = spark.table(table)
-    _written[path] = out
-    spark._jvm.System.gc()
+    path, table = _table_path(spark, name), f"{name}_{uuid.uuid4().hex}"
+    with _short_lived_shuffles(spark):
+        df.write.bucketBy(buckets, key).option("path", path).option("compression", "zstd").format("parquet").saveAsTable(table)
+    _written[path] = out = spark.table(table)
     return out
 
 

@@ -8,7 +8,7 @@ The model at hand is of the BPE kind, whose encoding is no maximum of a sum of s
 path is the one that merging by rank leaves. The fold takes the edges of a unit by rank and place, and its state is the set
 of boundaries that still stand, as bits. An edge whose two ends stand, with one more boundary between them, is a merge, and
 takes that one away. One pass does it, since no piece of the model is made of pieces that are merged after it
-(:func:`piece_table` refuses a model with such a piece). The edges that are left between two boundaries next to each other
+(:func:`piece_table` refuses a model with such a piece; runs of spaces share a rank, see :func:`turn`). The edges that are left between two boundaries next to each other
 are the path. The result is the library's own.
 
 Documents become codes, in chunks of ``CHUNK`` or more: places in a dictionary of the ``KNOWN`` most frequent units, which
@@ -43,11 +43,11 @@ from . import _common as C
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-#: Units of the dictionary that goes along with each task, at most (some 3 MB; the same at any size of the corpus).
-KNOWN = 1 << 18
+#: Units of the dictionary that goes along with each task, at most (some 6 MB; the same at any size of the corpus).
+KNOWN = 1 << 19
 #: Codes of a chunk, from which on it ends; distinct units that a task counts at a time.
 CHUNK = 1 << 16
-TASK_WORDS = 200_000
+TASK_WORDS = 300_000
 NEVER = 2**31 - 1
 #: Units longer than this are cut further where no piece has both characters side by side.
 #: Those of fewer than LONG characters have their boundaries in one word.
@@ -109,26 +109,40 @@ def load(path: str = MODEL) -> Model:
     return Model(rank, ids, byte_ids, text)
 
 
-def merge_ranks(piece: str, rank: dict[str, int]) -> list[int] | None:
-    """Ranks of the merges that make a piece of its characters, in the order they are done. None: merging does not give the piece."""
+def merges(piece: str, rank: dict[str, int]) -> list[tuple[int, int, int]] | None:
+    """(rank, start, length) of the merges that make a piece of its characters, in the order they are done: the best rank first, then from the left. None: merging does not give the piece."""
     parts, out = list(piece), []
     while len(parts) > 1:
         r, i = min((rank.get(x + y, NEVER), i) for i, (x, y) in enumerate(zip(parts, parts[1:])))
         if r == NEVER:
             return None
         parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        out.append(r)
+        out.append((r, len("".join(parts[:i])), len(parts[i])))
     return out
 
 
+def turn(done: list[tuple[int, int, int]]) -> tuple[int, int, int]:
+    """Among merges of one rank, which go from the left: (from the piece's start, by length, how many after that) of the last merge.
+
+    A piece that a merge of its own rank further right completes is merged right after that one.
+    """
+    r, start, length = done[-1]
+    later = 0
+    for before in reversed(done[:-1]):
+        if before[0] != r or before[1] <= start:
+            break
+        (_, start, length), later = before, later + 1
+    return start, length, later
+
+
 def piece_table(spark: SparkSession, model: Model) -> DataFrame:
     rows = []
     for piece, r in model.rank.items():
-        if (ranks := merge_ranks(piece, model.rank)) is not None:
-            if ranks and max(ranks) != r:
+        if (done := merges(piece, model.rank)) is not None:
+            if done and max(done)[0] > r:
                 raise ValueError(f"piece {model.ids[piece]} is made of pieces that are merged after it")
-            rows.append((piece, model.ids[piece], r))
-    return spark.createDataFrame(rows, "piece string, id int, r int")
+            rows.append((piece, model.ids[piece], r, *(turn(done) if done else (0, 1, 0))))
+    return spark.createDataFrame(rows, "piece string, id int, r int, off int, span int, later int")
 
 
 def _unit_pattern(odd: str) -> re.Pattern:
@@ -233,7 +247,7 @@ def lattice(units: DataFrame, pieces: DataFrame, reach: DataFrame, model: Model)
     edges = edges.withColumn("low", F.expr(f"if(n < {LONG}, a, a % {BLOCK})"))
     both = F.expr("shiftleft(1L, low) | shiftleft(1L, low + long)")
     inside = F.expr("shiftleft(shiftleft(1L, long - 1) - 1L, low + 1)")
-    edge = F.struct(F.coalesce("r", F.lit(NEVER)).alias("r"), "a", both.alias("both"), inside.alias("inside"), F.expr(f"if(id IS NULL, {of_bytes}, array(id))").alias("ids"))
+    edge = F.struct(F.coalesce("r", F.lit(NEVER)).alias("r"), (F.col("a") + F.coalesce("off", F.lit(0))).alias("turn"), "span", "later", "a", both.alias("both"), inside.alias("inside"), F.expr(f"if(id IS NULL, {of_bytes}, array(id))").alias("ids"))
     words = edges.groupBy("h", "k").agg(F.first("own", ignorenulls=True).alias("own"), F.sort_array(F.collect_list(edge)).alias("edges"))
     tokens = F.when(F.length("own.unit") < LONG, F.expr(_fold_word())).otherwise(F.expr(_fold_blocks()))
     return words.select("own.unit", "own.c", F.flatten(F.transform(F.sort_array(tokens), lambda t: t["ids"])).alias("ids"))
@@ -349,8 +363,8 @@ def _unpacked(packed: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
 
 
-def encode(df: DataFrame, text_col: str = "text", out_col: str = "ids", model: Model | None = None, known: int = KNOWN, keep: list[str] | None = None) -> DataFrame:
-    """``df`` with the token ids of its text. ``keep``: the columns that go along (all of them); a text that is not kept is read and never written or shuffled."""
+def encode(df: DataFrame, text_col: str = "text", out_col: str = "ids", model: Model | None = None, known: int = KNOWN, keep: list[str] | None = None, decoded_col: str | None = None) -> DataFrame:
+    """``df`` with the token ids of its text. ``keep``: the columns that go along (all of them); a text that is not kept is read and never written or shuffled. ``decoded_col``: adds what the ids decode to, as :func:`decode` does, in the same pass."""
     spark, model = df.sparkSession, model or load()
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(C.planned_bytes(df) // TASK_BYTES, MOST_TASKS))
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), tasks // 4)
@@ -360,7 +374,7 @@ def encode(df: DataFrame, text_col: str = "text", out_col: str = "ids", model: M
     words = dictionary(encoded, known)
     n_known = len(words.units)
     shared = spark.sparkContext.broadcast((words.units, model.cut))
-    keep = [c for c in (df.columns if keep is None else keep) if c != out_col]
+    keep = [c for c in (df.columns if keep is None else keep) if c not in (out_col, decoded_col)]
     names = [f"c{i}" for i in range(len(keep))]
     base = df.select(df[text_col].cast("string").alias("text"), F.struct(*[df[c].alias(n) for c, n in zip(keep, names)], F.lit(0).alias("none")).alias("row"))
     row_type = base.schema["row"].dataType.simpleString()
@@ -391,10 +405,11 @@ def encode(df: DataFrame, text_col: str = "text", out_col: str = "ids", model: M
     found = C.written(found, "found", "zstd")
     C.forget(spark, encoded)
     whole = table.select("chunk", "rows", "lengths", "codes", F.size("rare").alias("n_rare")).join(found, "chunk", "left")
-    lists = spark.sparkContext.broadcast((words.ids, words.starts))
+    lists = spark.sparkContext.broadcast((words.ids, words.starts, model.text_of if decoded_col else None))
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flat, starts = lists.value
+        flat, starts, text_of = lists.value
+        texts = _Texts(text_of) if text_of else None
         for batch in batches:
             for i in range(batch.num_rows):
                 rows, lengths, packed, n_rare, found = (batch.column(j).slice(i, 1) for j in range(5))
@@ -413,10 +428,11 @@ def encode(df: DataFrame, text_col: str = "text", out_col: str = "ids", model: M
                     ids, here = np.empty(len(usual) + len(others), np.int32), np.repeat(is_rare, sizes)
                     ids[here], ids[~here] = others, usual
                 ends = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(lengths.flatten().to_numpy())])]
-                yield pa.RecordBatch.from_arrays([rows.flatten(), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids))], names=["row", "ids"])
+                made = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids))
+                yield pa.RecordBatch.from_arrays([rows.flatten(), made, *([texts(made)] if texts else [])], names=["row", "ids", *(["decoded"] if texts else [])])
 
-    out = whole.select("rows", "lengths", "codes", "n_rare", "found").mapInArrow(fill, f"row {row_type}, ids array<int>")
-    return out.select(*[F.col("row")[n].alias(c) for c, n in zip(keep, names)], F.col("ids").alias(out_col))
+    out = whole.select("rows", "lengths", "codes", "n_rare", "found").mapInArrow(fill, f"row {row_type}, ids array<int>" + (", decoded string" if decoded_col else ""))
+    return out.select(*[F.col("row")[n].alias(c) for c, n in zip(keep, names)], F.col("ids").alias(out_col), *([F.col("decoded").alias(decoded_col)] if decoded_col else []))
 
 
 def decode(df: DataFrame, ids_col: str = "ids", out_col: str = "decoded", model: Model | None = None) -> DataFrame:
@@ -472,8 +488,7 @@ def text_from(ids: list[int], text_of: dict[int, bytes | None]) -> str:
 def op2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     # the text's SHA-256 goes along in its place
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").withColumn("sha", text_hash(F.col("text")))
-    model = load()
-    out = decode(encode(docs, model=model, keep=["doc_id", "sha"]), model=model)
+    out = encode(docs, keep=["doc_id", "sha"], decoded_col="decoded")
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", (text_hash(F.col("decoded")) == F.col("sha")).alias("round_trip"))
 
 

@@ -16,8 +16,8 @@ def library():
 
 
 def check(df, library, **how):
-    rows = pieces.decode(pieces.encode(df, **how)).collect()
-    assert len(rows) == df.count()
+    rows = pieces.decode(pieces.encode(df, decoded_col="same", **how)).collect()
+    assert len(rows) == df.count() and all(r["same"] == r["decoded"] for r in rows)
     for r in rows:
         assert r["ids"] == library.encode(r["text"] or ""), r["text"]
         if "▁" not in (r["text"] or ""):
@@ -50,3 +50,13 @@ def test_decode_of_odd_ids(spark):
     rows = [(1, [65, 10**6, -1]), (2, None), (3, []), (4, [3 + 0xFF])]
     got = {r["k"]: r["decoded"] for r in pieces.decode(spark.createDataFrame(rows, "k long, ids array<int>")).collect()}
     assert got[2] is None and got[3] == "" and got[4] == "�" and got[1] == "A"[:0] + pieces.text_from([65], dict(enumerate(pieces.load().text_of)))
+
+
+def test_long_runs_and_odd_spaces(spark, library):
+    texts = [*(" " * n for n in range(1, 80)), *("a" + " " * n + "b" for n in range(10, 40)), "=" * 3000, " " * 500 + "x", "x" + " " * 70, "  lead", "trail  ", " ", "  ", "a  b   c\n d", "\n", " \n ", "ab" * 400, "1234567890" * 30, "_-" * 100, "é" * 130]
+    check(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), library, known=5)
+
+
+def test_model_order():
+    model = pieces.load()
+    assert all(max(pieces.merges(p, model.rank))[0] == r for p, r in list(model.rank.items())[::50] if len(p) > 1)

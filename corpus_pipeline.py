@@ -36,9 +36,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The other columns with token ids in place of the text, their number, and whether they decode to the text."""
-    model = pieces.load()
     docs = docs.withColumn("__sha", pieces.text_hash(F.col("text")))
-    out = pieces.decode(pieces.encode(docs, model=model, keep=[c for c in docs.columns if c != "text"]), out_col="__decoded", model=model)
+    out = pieces.encode(docs, keep=[c for c in docs.columns if c != "text"], decoded_col="__decoded")
     round_trip = pieces.text_hash(F.col("__decoded")) == F.col("__sha")
     return out.withColumns({"n_tokens": F.size("ids").cast("long"), "round_trip": round_trip}).drop("__decoded", "__sha")
 

@@ -45,9 +45,9 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Units of the dictionary that goes along with each task, at most (some 6 MB; the same at any size of the corpus).
 KNOWN = 1 << 19
-#: Codes of a chunk, from which on it ends; distinct units that a task counts at a time.
+#: Codes of a chunk, from which on it ends; distinct words and units that a task counts at a time.
 CHUNK = 1 << 16
-TASK_WORDS = 300_000
+TASK_WORDS, TASK_UNITS = 200_000, 450_000
 NEVER = 2**31 - 1
 #: Units longer than this are cut further where no piece has both characters side by side.
 #: Those of fewer than LONG characters have their boundaries in one word.
@@ -213,7 +213,7 @@ def unit_counts(texts: DataFrame, model: Model, tasks: int) -> DataFrame:
                 words.update(words_of(x.as_py()))
                 if len(words) > TASK_WORDS:
                     to_units()
-                    if len(counts) > TASK_WORDS:
+                    if len(counts) > TASK_UNITS:
                         yield flushed()
         to_units()
         if counts:
@@ -299,10 +299,13 @@ def dictionary(table: DataFrame, most: int) -> Dictionary:
         if total > most:
             break
         least = r["s"]
-    kept = table.filter(_step() >= least if least is not None else F.lit(False)).orderBy(F.desc("c")).select("unit", "ids").toArrow()
-    lists = kept.column(1).combine_chunks()
-    flat, starts = _ragged(lists) if len(lists) else (np.zeros(0, np.int32), np.zeros(1, np.int64))
-    return Dictionary(kept.column(0).combine_chunks() if len(lists) else pa.array([], pa.string()), starts, flat, least)
+    kept = table.filter(_step() >= least if least is not None else F.lit(False)).toArrow()
+    if not kept.num_rows:
+        return Dictionary(pa.array([], pa.string()), np.zeros(1, np.int64), np.zeros(0, np.int32), least)
+    # frequent units first: small codes take less room
+    kept = kept.sort_by([("c", "descending"), ("unit", "ascending")])
+    flat, starts = _ragged(kept.column("ids").combine_chunks())
+    return Dictionary(kept.column("unit").combine_chunks(), starts, flat, least)
 
 
 def _ragged(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -326,11 +329,15 @@ class _Codes(dict):
     def __init__(self, known: list[str], cut: tuple, room: int = 150_000):
         super().__init__()
         self.known = {u: i.to_bytes(4, "little") for i, u in enumerate(known)}
-        self.own = {u[1:]: c for u, c in self.known.items() if u[0] == " " and len(u) <= LONG and u[1:].isalpha()}
+        self.own = {u[1:]: c for u, c in self.known.items() if u[0] == " " and u[1:].isalpha()}
         self.update(self.own)
         self.cut, self.room, self.rare, self.passing = cut, room, {}, []
 
     def __missing__(self, word: str) -> bytes:
+        if len(word) < LONG and word.isalpha():  # one unit, and none of the dictionary's
+            self.passing.append(word)
+            self[word] = out = (len(self.known) + self.rare.setdefault(" " + word, len(self.rare))).to_bytes(4, "little")
+            return out
         codes = [self.known.get(u) or u for u in units_of(word, self.cut)]
         lacking = [i for i, c in enumerate(codes) if isinstance(c, str)]
         for i in lacking:

@@ -14,6 +14,8 @@ from ..functions import text as X
 
 TARGET = 512
 HEADING, FENCE, BLANK, BREAK = 100, 80, 20, 20.0
+#: Chunks that the fold's state copies as one.
+RUN = 64
 
 
 def line_score(line: Column) -> Column:
@@ -26,18 +28,36 @@ def decay(size: Column, target: int) -> Column:
     return F.greatest(F.lit(0.0), 1 - F.abs(size - target) / target) if target > 0 else F.lit(1.0)
 
 
-def chunk_ends(lines: Column, target: int) -> Column:
-    """Index of the last line of each chunk."""
-    rows = F.transform(lines, lambda line, i: F.struct(i.alias("i"), (F.length(line) + 1).alias("n"), line_score(line).alias("score")))
-    start = F.struct(F.lit(0).alias("size"), F.array().cast("array<int>").alias("ends"))
+def bound(value: Column, use) -> Column:
+    """``use`` of a value that is worked out once, however often ``use`` mentions it."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def chunk_bounds(lines: Column, target: int) -> Column:
+    """(start, n) of each chunk's lines. Bounds gather in full runs and a last one, so that a step copies little."""
+    rows = F.transform(lines, lambda line: F.struct((F.length(line) + 1).alias("n"), line_score(line).alias("score")))
+    pairs = "array<struct<start:int,n:int>>"
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("lines"), F.lit(0).alias("size"), F.array().cast(f"array<{pairs}>").alias("runs"), F.array().cast(pairs).alias("last"))
+
+    def closed(state: Column, lines: Column) -> Column:
+        """The state after a chunk of so many lines."""
+        full = F.size(state["last"]) >= RUN
+        pair = F.struct(state["at"].alias("start"), lines.alias("n"))
+        runs = F.when(full, F.array_append(state["runs"], state["last"])).otherwise(state["runs"])
+        last = F.when(full, F.array(pair)).otherwise(F.array_append(state["last"], pair))
+        return F.struct((state["at"] + lines).alias("at"), F.lit(0).alias("lines"), F.lit(0).alias("size"), runs.alias("runs"), last.alias("last"))
 
     def step(state: Column, row: Column) -> Column:
         size = state["size"] + row["n"]
         stop = (size >= target // 4) & ((size >= target) | ((row["score"] > 0) & (row["score"] * decay(size, target) >= BREAK)))
-        done = F.struct(F.lit(0).alias("size"), F.array_append(state["ends"], row["i"]).alias("ends"))
-        return F.when(stop, done).otherwise(F.struct(size.alias("size"), state["ends"].alias("ends")))
+        more = F.struct(state["at"].alias("at"), (state["lines"] + 1).alias("lines"), size.alias("size"), state["runs"].alias("runs"), state["last"].alias("last"))
+        return F.when(stop, closed(state, state["lines"] + 1)).otherwise(more)
+
+    def finish(state: Column) -> Column:
+        done = F.when(state["lines"] > 0, closed(state, state["lines"])).otherwise(state)
+        return bound(done, lambda s: F.flatten(F.array_append(s["runs"], s["last"])))
 
-    return F.array_distinct(F.array_append(F.aggregate(rows, start, step, lambda s: s["ends"]), F.size(lines) - 1))
+    return F.aggregate(rows, start, step, finish)
 
 
 def chunk_sections(sections: DataFrame, target: int = TARGET) -> DataFrame:
@@ -48,8 +68,8 @@ def chunk_sections(sections: DataFrame, target: int = TARGET) -> DataFrame:
     base = sections.withColumn("lines", F.transform("sections", lambda s: F.struct(s["heading_path"].alias("heading_path"), s["ordinal"].alias("ordinal"), F.split(s["text"], "\n", -1).alias("lines"))))
 
     def of_section(s: Column) -> Column:
-        ends = chunk_ends(s["lines"], target)
-        made = F.transform(ends, lambda e, k: F.struct(X.right_trim(F.array_join(F.slice(s["lines"], F.when(k > 0, F.get(ends, k - 1) + 2).otherwise(1), e - F.when(k > 0, F.get(ends, k - 1)).otherwise(-1)), "\n")).alias("text"), s["heading_path"].alias("heading_path"), s["ordinal"].alias("ordinal")))
+        text = lambda c: X.right_trim(F.array_join(F.slice(s["lines"], c["start"] + 1, c["n"]), "\n"))
+        made = F.transform(chunk_bounds(s["lines"], target), lambda c: F.struct(text(c).alias("text"), s["heading_path"].alias("heading_path"), s["ordinal"].alias("ordinal")))
         return F.filter(made, lambda c: c["text"] != "")
 
     chunks = F.flatten(F.transform("lines", of_section))

@@ -8,7 +8,8 @@ Tokens are ASCII-lower-cased words and one end per document; the end also stands
    sweep moves little. The driver holds the type pair counts for it, at most (CORE + SHAPES + 1)^2 numbers, a bound of
    the model and not of the corpus.
 3. Class transitions are smoothed towards class frequencies; a word of a bucket has its share of the bucket's tokens, and
-   new words share Good and Turing's estimate (words seen once) of it.
+   all that Good and Turing's estimate (words seen once) leaves of a bucket goes to one unknown word in it: any new word of
+   the bucket counts as that one.
 4. Scoring is one pass over the documents: the ``KNOWN`` most frequent words, with their counts, go along as a dictionary
    of bounded size; the remaining tokens of a document (about one in fourteen) are joined to the counts on the cluster.
 
@@ -127,7 +128,7 @@ def pair_counts(texts: DataFrame, core: dict[bytes, int]) -> np.ndarray:
             yield flushed()
 
     table = texts.mapInArrow(run, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(n_types * n_types, np.float32)
+    out = np.zeros(n_types * n_types)  # doubles hold counts exactly up to 2**53
     for part in table.to_batches():
         out[part.column(0).to_numpy()] = part.column(1).to_numpy()
     return out.reshape(n_types, n_types)
@@ -234,10 +235,10 @@ def train(texts: DataFrame) -> tuple[Model, DataFrame]:
     known = frequent(vocabulary) if total else {}
     ranked = sorted((w for w in known if w), key=lambda w: (-known[w], w))
     core = {w: k + 1 for k, w in enumerate(ranked[:CORE])}
-    pairs = pair_counts(texts, core) if total else np.zeros((1 + CORE + SHAPES,) * 2, np.float32)
+    pairs = pair_counts(texts, core) if total else np.zeros((1 + CORE + SHAPES,) * 2)
     of = exchange(pairs)
     n_classes = CLASSES
-    type_n = pairs.sum(0, dtype=np.float64)
+    type_n = pairs.sum(0)
     class_n = np.bincount(of, type_n, n_classes)
     one = np.zeros((len(of), n_classes))
     one[np.arange(len(of)), of] = 1

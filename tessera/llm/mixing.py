@@ -9,6 +9,8 @@
    the node's blocks, drawn without replacement from all its sources' blocks together: the first half of a random
    permutation, whose counts by source are a multivariate-hypergeometric draw. The permutation is ranked by hash buckets
    and then within the one bucket that holds the middle, so no task ranks a whole node.
+   What a shard holds is what the tree dealt it: a document is taken as often as shards got its block (but the last copy of
+   a cut block, which ends at the quota).
 4. Inside a shard, documents are ordered by a hash of seed, copy and id.
 
 Windows run over sources (one row each), over the blocks of a source, and over the documents of one cut block for each source.
@@ -120,7 +122,12 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     df = df.drop(*[c for c in ("mix_shard", "mix_copy", "mix_order") if c not in (id_col, text_col, source_col)])
     docs = df.select(F.struct(*[df[c] for c in df.columns]).alias("row"), df[id_col].alias("id"), df[source_col].alias("source"), n_words(df[text_col]).alias("size"))
     out = drawn_docs(docs, shards, seed).select("row", "perm", F.explode("draws").alias("d"))
-    return out.select("row.*", F.col("d.shard").alias("mix_shard"), F.col("d.copy").alias("mix_copy"), F.xxhash64(F.lit(seed), F.col("d.copy"), F.col("perm")).alias("mix_order"))
+    return out.select("row.*", F.col("d.shard").alias("mix_shard"), F.col("d.copy").alias("mix_copy"), place(seed, F.col("d.copy")).alias("mix_order"))
+
+
+def place(seed: str, copy: Column) -> Column:
+    """Place of a copy of a document (by its ``perm``) within its shard: 16 hex digits, in their order."""
+    return F.substring(F.md5(F.concat_ws("|", F.lit(seed), copy, F.col("perm")).cast("binary")), 1, 16)
 
 
 def write_shards(mixed: DataFrame, path: str, shards: int = SHARDS) -> None:
@@ -129,27 +136,50 @@ def write_shards(mixed: DataFrame, path: str, shards: int = SHARDS) -> None:
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``draws``: copy:shard:place of each copy that a shard holds, comma-joined."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("id"), "source", n_words(F.col("text")).alias("size"))
     out = drawn_docs(C.written(docs, "sizes"))
-    return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.size("draws")).cast("long").alias("taken"))
+    taken = F.aggregate("draws", F.lit(0).cast("long"), lambda n, d: n + F.col("size"))
+    held = F.array_join(F.transform("draws", lambda d: F.concat_ws(":", d["copy"], d["shard"], place(SEED, d["copy"]))), ",")
+    return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", taken.alias("taken"), held.alias("draws"))
+
+
+def _level(name: str, of: str, depth: int) -> str:
+    """SQL of one level of the tree: the first half of each node's blocks, in a random order, goes left."""
+    return f"""{name} AS (
+  SELECT source, block, copy, key, 2 * node + (row_number() OVER (PARTITION BY node ORDER BY md5('{SEED}/{depth}|' || node || '|' || key), key) > (count(*) OVER (PARTITION BY node) + 1) // 2)::INT AS node
+  FROM {of})"""
 
 
-SQL = r"""
+SQL = rf"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-         md5('mix-1|' || coalesce(doc_id::VARCHAR, 'null')) AS perm
+         md5('{SEED}|' || coalesce(doc_id::VARCHAR, 'null')) AS perm
   FROM documents),
-s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source IS NULL, source) AS k FROM d GROUP BY source),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, count(*) AS n, row_number() OVER (ORDER BY source IS NULL, source) AS k FROM d GROUP BY source),
 w AS (SELECT source, source_size, 1 + (k - 1) % 3 AS weight, 3 * source_size AS cap FROM s),
 r AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
              / sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
       FROM w WINDOW o AS (ORDER BY cap / weight, source IS NULL, source)),
 l AS (SELECT arg_min(level, cap / weight) AS level FROM r WHERE level <= cap / weight),
 t AS (SELECT r.source, r.source_size, coalesce(least(r.cap::DOUBLE, l.level * r.weight), r.cap::DOUBLE) AS target FROM r, l),
-p AS (SELECT d.*, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN floor(t.target / t.source_size) ELSE 0 END AS whole,
+g AS (SELECT CASE WHEN max(n) <= 16 * {BLOCK_ROWS} THEN 1 WHEN max(n) <= 256 * {BLOCK_ROWS} THEN 2 WHEN max(n) <= 4096 * {BLOCK_ROWS} THEN 3 ELSE 4 END AS digits FROM s),
+p AS (SELECT d.*, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN floor(t.target / t.source_size) ELSE 0 END::BIGINT AS whole,
+             substr(perm, 1, digits) AS block,
              sum(size) OVER (PARTITION BY d.source ORDER BY perm, doc_id, size ROWS UNBOUNDED PRECEDING) - size AS before
-      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target,
-       (size * (whole + CASE WHEN before + size / 2 <= target - whole * source_size AND before < target - whole * source_size THEN 1 ELSE 0 END))::BIGINT AS taken
-FROM p
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source, g),
+q AS (SELECT source, block, any_value(whole) AS whole, sum(size) AS block_size,
+             any_value(target) - any_value(whole) * any_value(source_size) - min(before) AS room FROM p GROUP BY source, block),
+c AS (SELECT *, whole + (block_size > 0 AND room > 0)::INT AS copies, block_size > 0 AND room > 0 AND room < block_size AS cut FROM q),
+n0 AS (SELECT source, block, copy, concat_ws('|', coalesce('s' || source, 'n'), block, copy) AS key, 0 AS node FROM (SELECT source, block, unnest(range(1, copies + 1)) AS copy FROM c)),
+{_level("n1", "n0", 0)},
+{_level("n2", "n1", 1)},
+{_level("n3", "n2", 2)},
+h AS (SELECT p.doc_id, p.perm, p.size, p.source, p.before, n3.copy, n3.node AS shard
+      FROM p JOIN c ON p.source IS NOT DISTINCT FROM c.source AND p.block = c.block JOIN n3 ON n3.source IS NOT DISTINCT FROM c.source AND n3.block = c.block
+      WHERE NOT c.cut OR n3.copy < c.copies OR p.before + p.size / 2 <= p.target - p.whole * p.source_size),
+a AS (SELECT doc_id, perm, size, source, before, sum(size)::BIGINT AS taken, string_agg(copy || ':' || shard || ':' || substr(md5('{SEED}|' || copy || '|' || perm), 1, 16), ',' ORDER BY copy) AS draws
+      FROM h GROUP BY doc_id, perm, size, source, before)
+SELECT p.doc_id, p.size, p.source_size, p.target, coalesce(a.taken, 0) AS taken, coalesce(a.draws, '') AS draws
+FROM p LEFT JOIN a ON p.doc_id IS NOT DISTINCT FROM a.doc_id AND p.source IS NOT DISTINCT FROM a.source AND p.before = a.before AND p.size = a.size
 """

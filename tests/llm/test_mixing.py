@@ -71,3 +71,32 @@ def test_mix(spark, edge, none, clash):
 def test_shards_are_written(spark, tmp_path):
     mixing.write_shards(mixing.mix(corpus(spark, 100)), str(tmp_path / "m"))
     assert spark.read.parquet(str(tmp_path / "m")).count() == mixing.mix(corpus(spark, 100)).count()
+
+
+def test_quotas_of_the_tree(spark):
+    """Each node's halves, by source, against plain Python with the same draws."""
+    import hashlib
+
+    rows = [(f"s{i % 3}" if i % 7 else None, f"b{i}") for i in range(301)]
+    got = {r["key"]: r["shard"] for r in mixing.split_tree(spark.createDataFrame(rows, "source string, key string"), 8, "x").collect()}
+    nodes = {0: [k for _, k in rows]}
+    for depth in range(3):
+        deeper = {}
+        for node, keys in nodes.items():
+            order = sorted(keys, key=lambda k: (hashlib.md5(f"x/{depth}|{node}|{k}".encode()).hexdigest(), k))
+            half = (len(order) + 1) // 2
+            deeper[2 * node], deeper[2 * node + 1] = order[:half], order[half:]
+        nodes = deeper
+    source = {k: s for s, k in rows}
+    want = Counter((node, source[k]) for node, keys in nodes.items() for k in keys)
+    assert Counter((shard, source[k]) for k, shard in got.items()) == want
+    assert got == {k: node for node, keys in nodes.items() for k in keys}
+
+
+def test_taken_is_what_shards_hold(spark):
+    df = corpus(spark, 300)
+    held = Counter()
+    for r in mixing.mix(df).collect():
+        held[r["doc_id"]] += len(r["text"].split())
+    docs = df.select(F.col("doc_id").alias("id"), "source", mixing.n_words(F.col("text")).alias("size"))
+    assert held == Counter({r["id"]: r["size"] * len(r["draws"]) for r in mixing.drawn_docs(docs).collect() if r["size"] * len(r["draws"])})

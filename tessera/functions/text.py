@@ -83,3 +83,9 @@ def slug(path: str) -> str:
     """Name of a collection from the last part of its path."""
     name = path.rstrip("/").rpartition("/")[2]
     return re.sub("[^a-z0-9]+", "-", name.lower()).strip("-") or "collection"
+
+
+def slug_column(path: Column) -> Column:
+    """:func:`slug` over a column."""
+    name = F.element_at(F.split(F.regexp_replace(path, "/+$", ""), "/"), -1)
+    return F.coalesce(F.nullif(F.btrim(F.regexp_replace(F.lower(name), "[^a-z0-9]+", "-"), F.lit("-")), F.lit("")), F.lit("collection"))

@@ -7,12 +7,15 @@ vectors (vec_id is the chunk), and vector 0 is the query. Doubles are rounded to
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions import vectors as V
 from ..operators import bm25, chunking, fusion, knn, markdown
+from . import catalog, indexing
 
 TERMS = ["this", "with"]
 MARKUP = """(VALUES
@@ -170,57 +173,58 @@ def content_dedup(spark, sf):
 
 def content_addressed_join(spark, sf):
     docs = _hashed(spark, sf)
-    content = docs.groupBy("content_hash").agg(F.min(F.octet_length("text")).cast("long").alias("size"))
-    return docs.filter("active").select("chunk_id", "path", "content_hash").join(content, "content_hash")
+    content = docs.groupBy(F.col("content_hash").alias("hash")).agg(F.min(F.octet_length("text")).cast("long").alias("size"))
+    return catalog.with_content(docs.filter("active").select("chunk_id", "path", "content_hash"), content)
 
 
 def incremental_changes(spark, sf):
     """The catalog has what is not a multiple of 7; on disk is what is not a multiple of 11, every 13th document edited."""
     docs = _hashed(spark, sf).select("chunk_id", "path", "content_hash")
-    old = docs.filter("chunk_id % 7 <> 0").select("path", F.col("content_hash").alias("old_hash"))
+    known = docs.filter("chunk_id % 7 <> 0").select("path", F.col("chunk_id").alias("id"), "content_hash", F.lit(True).alias("active"))
     edited = F.when(F.col("chunk_id") % 13 == 0, F.sha2(F.concat("content_hash", F.lit("+")), 256)).otherwise(F.col("content_hash"))
-    new = docs.filter("chunk_id % 11 <> 0").select("path", edited.alias("new_hash"))
-    change = F.when(F.col("old_hash").isNull(), "added").when(F.col("new_hash").isNull(), "removed").when(F.col("old_hash") == F.col("new_hash"), "same").otherwise("updated")
-    return old.join(new, "path", "full_outer").groupBy(change.alias("change")).agg(F.count(F.lit(1)).alias("files"))
+    files = docs.filter("chunk_id % 11 <> 0").select("path", edited.alias("hash"), F.lit(None).cast("string").alias("error"))
+    return indexing.classify(files, known).groupBy("change").agg(F.count(F.lit(1)).alias("files"))
 
 
 def get_by_prefix(spark, sf):
-    docs = _hashed(spark, sf).filter("active").filter(X.hash_prefix(F.col("content_hash"), "A"))
-    return docs.orderBy("collection", "path").limit(5).select("collection", "path", X.short_id(F.col("content_hash")).alias("short_id"), X.uri(F.col("collection"), F.col("path")).alias("uri"))
+    return catalog.matching(_hashed(spark, sf), "A").select("collection", "path", "short_id", "uri")
 
 
 def collection_stats(spark, sf):
-    """Counts by collection, from aggregates made before the joins: no fan-out, and no distinct."""
-    docs = _docs(spark, sf).filter("active").select("chunk_id", "collection")
-    chunks = _chunks(spark, sf, 512).groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunks"))
-    vectors = _vectors(spark, sf).groupBy("chunk_id").agg(F.count(F.lit(1)).alias("vectors")).withColumnRenamed("chunk_id", "v_id")
-    met = docs.join(chunks, docs["chunk_id"] == chunks["doc_id"], "left").join(vectors, docs["chunk_id"] == vectors["v_id"], "left")
-    return met.groupBy("collection").agg(F.count(F.lit(1)).alias("documents"), F.sum(F.coalesce("chunks", F.lit(0))).alias("chunks"), F.sum(F.coalesce("vectors", F.lit(0))).alias("embeddings"))
+    """A chunk's vector is its document's."""
+    docs = _docs(spark, sf).select(F.col("chunk_id").alias("id"), "collection", "active")
+    made = _chunks(spark, sf, 512).select("doc_id", F.when(F.col("seq") == 0, F.col("doc_id")).alias("id"))
+    # a document without chunks has its vector all the same
+    bare = docs.join(made.filter("id IS NOT NULL").select("id"), "id", "left_anti").select(F.col("id").alias("doc_id"), "id")
+    n_bare = bare.join(docs.filter("active"), "id").groupBy("collection").agg(F.count(F.lit(1)).alias("bare"))
+    out = catalog.counts(docs, made.unionByName(bare), _vectors(spark, sf).select("chunk_id").distinct())
+    return out.join(n_bare, "collection", "left").withColumn("chunks", F.col("chunks") - F.coalesce("bare", F.lit(0))).drop("bare")
 
 
 def cascade_delete_survivors(spark, sf):
-    docs = _docs(spark, sf)
-    gone = docs.filter("collection = 'src2'").select("chunk_id")
-    chunks = _chunks(spark, sf, 512).select("doc_id").join(gone.withColumnRenamed("chunk_id", "doc_id"), "doc_id", "left_anti")
-    vectors = _vectors(spark, sf).join(gone, "chunk_id", "left_anti")
-    kept = docs.join(gone, "chunk_id", "left_anti")
-    counts = [x.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(n).alias("table"), "rows") for n, x in (("documents", kept), ("chunks", chunks), ("chunk_vectors", vectors))]
-    return counts[0].unionByName(counts[1]).unionByName(counts[2])
+    docs = _docs(spark, sf).select(F.col("chunk_id").alias("id"), "collection")
+    chunks = _chunks(spark, sf, 512).select("doc_id", F.col("doc_id").alias("id"))
+    bare = docs.select(F.col("id").alias("doc_id"), "id", F.lit(True).alias("bare"))  # a document's vector, whether it has chunks or not
+    kept, left, others = indexing.without_collection(docs, chunks.withColumn("bare", F.lit(False)).unionByName(bare), {"chunk_vectors": _vectors(spark, sf)}, "src2")
+    rows = {"documents": kept, "chunks": left.filter("NOT bare"), **others}
+    return reduce(DataFrame.unionByName, [df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(n).alias("table"), "rows") for n, df in rows.items()])
 
 
 def orphan_content(spark, sf):
     docs = _hashed(spark, sf)
-    content = docs.select("content_hash").distinct()
-    return content.join(docs.filter("collection <> 'src3'").select("content_hash"), "content_hash", "left_anti")
+    return indexing.orphans(docs.select(F.col("content_hash").alias("hash")).distinct(), docs.filter("collection <> 'src3'")).withColumnRenamed("hash", "content_hash")
+
+
+def _live(spark, sf):
+    return _docs(spark, sf).filter("active").select(F.col("chunk_id").alias("id"), "collection")
 
 
 def pending_embeddings(spark, sf):
-    docs = _docs(spark, sf).filter("active").select("chunk_id", "collection")
-    return docs.join(_vectors(spark, sf), "chunk_id", "left_anti")
+    return indexing.pending(_live(spark, sf), _vectors(spark, sf)).withColumnRenamed("id", "chunk_id")
 
 
 def embedded_documents(spark, sf):
-    return _docs(spark, sf).filter("active").select("chunk_id", "collection").join(_vectors(spark, sf), "chunk_id", "left_semi")
+    return indexing.embedded(_live(spark, sf), _vectors(spark, sf)).withColumnRenamed("id", "chunk_id")
 
 
 def llm_cache_key(spark, sf):
@@ -234,8 +238,10 @@ def query_sanitize(spark, sf):
 
 
 def index_run_audit(spark, sf):
+    """Events as runs: a type is a collection, and a value a number of files."""
     e = spark.read.parquet(f"{sf}/events.parquet")
-    return e.groupBy("event_type").agg(F.max("ts").alias("last_finished"), F.count(F.lit(1)).alias("runs"), F.coalesce(F.round(F.max("value"), 9), F.lit(0.0)).alias("most"))
+    runs = catalog.history(e.select(F.col("event_type").alias("collection"), F.col("ts").alias("finished_at"), F.col("value").alias("files_scanned")))
+    return runs.select(F.col("collection").alias("event_type"), "last_finished", "runs", F.round("most", 9).alias("most"))
 
 
 def heading_paths(spark, sf):
@@ -249,8 +255,7 @@ def titles(spark, sf):
 
 
 def slugs(spark, sf):
-    p = spark.read.parquet(f"{sf}/part.parquet")
-    return p.select("p_partkey", F.coalesce(F.nullif(F.btrim(F.regexp_replace(F.lower("p_name"), "[^a-z0-9]+", "-"), F.lit("-")), F.lit("")), F.lit("collection")).alias("slug"))
+    return spark.read.parquet(f"{sf}/part.parquet").select("p_partkey", X.slug_column(F.col("p_name")).alias("slug"))
 
 
 def rank_windows(spark, sf):

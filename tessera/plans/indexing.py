@@ -58,42 +58,46 @@ def terms_of(chunks: DataFrame) -> DataFrame:
     return chunks.select(F.col("id").alias("chunk_id"), "doc_id", stems("text", "heading_path").alias("terms"))
 
 
-def _numbered(df: DataFrame, after: int, *order: str) -> DataFrame:
-    """Ids after the largest one, by order. Ranks are made within range partitions and shifted by the partitions' sizes."""
-    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id())
-    placed = placed.withColumn("__k", F.row_number().over(Window.partitionBy("__p").orderBy(*order))).persist()
-    sizes = placed.groupBy("__p").count().collect()
-    shift, total = {}, after
-    for r in sorted(sizes, key=lambda r: r["__p"]):
-        shift[r["__p"]], total = total, total + r["count"]
-    start = F.create_map(*[F.lit(x) for kv in shift.items() for x in kv])[F.col("__p")] if shift else F.lit(after)
-    return placed.withColumn("id", (start + F.col("__k")).cast("long")).drop("__p", "__k")
+def _numbered(store: Store, df: DataFrame, after: int, *order: str) -> DataFrame:
+    """Ids after the largest one, by ``order``, which tells rows apart. Rows are written in ranges of it first, so a lost executor changes no id; then each range is ranked and shifted by the ranges before it."""
+    ranged = df.repartitionByRange(*order).withColumn("__p", F.spark_partition_id())
+    placed = store.scratch(ranged)
+    sizes = placed.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))
+    # one row for each range
+    shift = sizes.select("__p", (F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + after).alias("__shift"))
+    rank = F.row_number().over(Window.partitionBy("__p").orderBy(*order))
+    return placed.withColumn("__k", rank).join(F.broadcast(shift), "__p").withColumn("id", F.col("__shift") + F.col("__k")).drop("__p", "__k", "__shift")
 
 
 def index(store: Store, col: Collection, chunk_size: int = chunking.TARGET) -> Run:
+    """The run has a row from its start; one that did not end keeps it without an end."""
     with store.writing():
         started = datetime.now(UTC).replace(microsecond=0)
         runs = store.table("index_runs")
         run_id = (runs.agg(F.max("id")).first()[0] or 0) + 1
+        _log(store, runs, (run_id, col.name, started, None, 0, 0, 0, 0, None))
+        result, error = Run(), None
         try:
             paths = list(listing.walk(col.path, col.extensions, col.ignore))
-        except OSError as e:
-            _finish(store, runs, run_id, col.name, started, Run(), str(e))
+            result = _apply(store, col, listing.read_files(store.spark, col.path, paths), chunk_size)
+            result.scanned = len(paths)
+            return result
+        except Exception as e:
+            error = str(e)
             raise
-        result = _apply(store, col, listing.read_files(store.spark, col.path, paths), chunk_size)
-        result.scanned = len(paths)
-        _finish(store, runs, run_id, col.name, started, result, None)
-        return result
+        finally:
+            ended = datetime.now(UTC).replace(microsecond=0)
+            _log(store, runs, (run_id, col.name, started, ended, result.scanned, result.added, result.updated, result.removed, error))
 
 
-def _finish(store: Store, runs: DataFrame, run_id: int, name: str, started: datetime, run: Run, error: str | None) -> None:
-    row = (run_id, name, started, datetime.now(UTC).replace(microsecond=0), run.scanned, run.added, run.updated, run.removed, error)
-    store.commit(index_runs=runs.unionByName(store.spark.createDataFrame([row], runs.schema)))
+def _log(store: Store, before: DataFrame, row: tuple) -> None:
+    store.commit(index_runs=before.unionByName(store.spark.createDataFrame([row], before.schema)))
 
 
 def _apply(store: Store, col: Collection, files: DataFrame, chunk_size: int) -> Run:
     documents, chunks, content = store.table("documents"), store.table("chunks"), store.table("content")
-    changes = classify(files, documents.filter(F.col("collection") == col.name)).persist()
+    held = [classify(files, documents.filter(F.col("collection") == col.name)).persist()]
+    changes = held[0]
     try:
         n = {r["change"]: r["count"] for r in changes.groupBy("change").count().collect()}
         fresh_n = sum(n.get(c, 0) for c in ("added", "updated", "restored"))
@@ -103,8 +107,9 @@ def _apply(store: Store, col: Collection, files: DataFrame, chunk_size: int) ->
         fresh = changes.filter(F.col("change").isin("added", "updated", "restored"))
         parsed = parsing.parsed(fresh.select("path", "body", "hash", "doc_id", "change"))
         last = documents.agg(F.max("id")).first()[0] or 0
-        new = _numbered(parsed.filter("doc_id IS NULL").drop("doc_id"), last, "path")
+        new = _numbered(store, parsed.filter("doc_id IS NULL").drop("doc_id"), last, "path")
         docs = new.unionByName(parsed.filter("doc_id IS NOT NULL").withColumnRenamed("doc_id", "id")).persist()
+        held.append(docs)
         made = docs.select(F.col("id").alias("doc_id"), F.col("hash").alias("content_hash"), "title", "path", F.lit(col.name).alias("collection"))
         kept_at = documents.select(F.col("id").alias("doc_id"), "indexed_at")
         rows = made.join(kept_at, "doc_id", "left").select(F.col("doc_id").alias("id"), "collection", "path", "title", "content_hash", F.lit(True).alias("active"), F.coalesce("indexed_at", _now()).alias("indexed_at"), _now().alias("updated_at"))
@@ -113,8 +118,9 @@ def _apply(store: Store, col: Collection, files: DataFrame, chunk_size: int) ->
         others = documents.join(docs.select("id"), "id", "left_anti").join(gone, "id", "left")
         others = others.withColumns({"updated_at": F.when(F.col("gone"), _now()).otherwise(F.col("updated_at")), "active": F.when(F.col("gone"), False).otherwise(F.col("active"))}).drop("gone")
         cut = chunking.chunk_sections(docs.select(F.col("id").alias("doc_id"), F.col("hash").alias("content_hash"), "sections"), chunk_size)
-        cut = _numbered(cut, chunks.agg(F.max("id")).first()[0] or 0, "doc_id", "seq").persist()
+        cut = _numbered(store, cut, chunks.agg(F.max("id")).first()[0] or 0, "doc_id", "seq").persist()
         terms = terms_of(cut).persist()
+        held += [cut, terms]
         old_chunks = chunks.join(touched, "doc_id", "left_semi").select(F.col("id").alias("chunk_id"))
         posted = terms.select("chunk_id", F.explode("terms").alias("term")).groupBy("chunk_id", "term").agg(F.count(F.lit(1)).cast("int").alias("tf"))
         bodies = docs.select("hash", "body", _now().alias("created_at")).dropDuplicates(["hash"]).join(content.select("hash"), "hash", "left_anti")
@@ -130,7 +136,32 @@ def _apply(store: Store, col: Collection, files: DataFrame, chunk_size: int) ->
         )
         return run
     finally:
-        store.spark.catalog.clearCache()
+        for df in held:
+            df.unpersist()
+        store.drop_scratch()
+
+
+def pending(chunks: DataFrame, embeddings: DataFrame) -> DataFrame:
+    """Chunks (id, ...) that have no embedding (chunk_id)."""
+    return chunks.join(embeddings.select(F.col("chunk_id").alias("id")), "id", "left_anti")
+
+
+def embedded(chunks: DataFrame, embeddings: DataFrame) -> DataFrame:
+    """Chunks (id, ...) that have one."""
+    return chunks.join(embeddings.select(F.col("chunk_id").alias("id")), "id", "left_semi")
+
+
+def without_collection(documents: DataFrame, chunks: DataFrame, per_chunk: dict[str, DataFrame], name: str) -> tuple[DataFrame, DataFrame, dict[str, DataFrame]]:
+    """documents (id, collection), chunks (id, doc_id) and tables of chunks (chunk_id), less all of a collection."""
+    gone = documents.filter(F.col("collection") == name).select(F.col("id").alias("doc_id"))
+    gone_chunks = chunks.join(gone, "doc_id", "left_semi").select(F.col("id").alias("chunk_id"))
+    kept = documents.filter(F.col("collection").isNull() | (F.col("collection") != name))
+    return kept, chunks.join(gone, "doc_id", "left_anti"), {t: df.join(gone_chunks, "chunk_id", "left_anti") for t, df in per_chunk.items()}
+
+
+def orphans(content: DataFrame, documents: DataFrame) -> DataFrame:
+    """Content (hash, ...) that no document (content_hash) has."""
+    return content.join(documents.select(F.col("content_hash").alias("hash")), "hash", "left_anti")
 
 
 def embed(store: Store, provider, collection: str | None = None) -> int:
@@ -140,7 +171,7 @@ def embed(store: Store, provider, collection: str | None = None) -> int:
         if collection:
             live = live.filter(F.col("collection") == collection)
         chunks = store.table("chunks").join(live.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
-        todo = chunks.select(F.col("id").alias("chunk_id"), "text").join(store.table("embeddings"), "chunk_id", "left_anti")
+        todo = pending(chunks, store.table("embeddings")).select(F.col("id").alias("chunk_id"), "text")
         made = todo.repartition(provider.parallel).mapInPandas(provider.embed_frames, "chunk_id long, vector array<float>").persist()
         try:
             n = made.count()
@@ -156,13 +187,11 @@ def embed(store: Store, provider, collection: str | None = None) -> int:
 def delete_collection(store: Store, name: str) -> None:
     """Everything of a collection, and content that no document has any more, in one commit."""
     with store.writing():
-        documents, chunks = store.table("documents"), store.table("chunks")
-        docs = documents.filter(F.col("collection") != name)
-        kept = chunks.join(docs.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
-        ids = kept.select(F.col("id").alias("chunk_id"))
-        semi = {t: store.table(t).join(ids, "chunk_id", "left_semi") for t in ("postings", "chunk_len", "chunk_vectors", "embeddings")}
-        content = store.table("content").join(docs.select(F.col("content_hash").alias("hash")), "hash", "left_semi")
-        store.commit(documents=docs, chunks=kept, content=content, index_runs=store.table("index_runs").filter(F.col("collection") != name), **semi)
+        tables = {t: store.table(t) for t in ("postings", "chunk_len", "chunk_vectors", "embeddings")}
+        docs, chunks, others = without_collection(store.table("documents"), store.table("chunks"), tables, name)
+        content = store.table("content")
+        unused = orphans(content.select("hash"), docs)
+        store.commit(documents=docs, chunks=chunks, content=content.join(unused, "hash", "left_anti"), index_runs=store.table("index_runs").filter(F.col("collection") != name), **others)
 
 
 def rename_collection(store: Store, old: str, new: str) -> None:

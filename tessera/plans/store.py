@@ -8,6 +8,7 @@ the session's Hadoop file system, so ``root`` may be any store it knows.
 from __future__ import annotations
 
 import json
+import uuid
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -82,6 +83,15 @@ class Store:
                 if v.isdigit() and int(v) <= now - keep:
                     self.fs.delete(entry.getPath(), True)
 
+    def scratch(self, df: DataFrame) -> DataFrame:
+        """``df`` written beside the tables and read back: what follows does not depend on how it was computed."""
+        at = f"{self.root}/_scratch/{uuid.uuid4().hex}"
+        df.write.parquet(at)
+        return self.spark.read.schema(df.schema).parquet(at)
+
+    def drop_scratch(self) -> None:
+        self.fs.delete(self._path("_scratch"), True)
+
     @contextmanager
     def writing(self):
         """One writer at a time."""

@@ -87,3 +87,9 @@ def test_cosine_distance(spark):
 
 def test_human_bytes():
     assert [human_bytes(n) for n in (5, 1024, 1536, 5 << 20)] == ["5 B", "1.0 KiB", "1.5 KiB", "5.0 MiB"]
+
+
+def test_slug_column(spark):
+    paths = ["/a/My Docs/", "x", "///", "", "Ünï-code", "a/b_c.d", "--"]
+    df = spark.createDataFrame([(p,) for p in paths], "p string")
+    assert {r["p"]: r["s"] for r in df.select("p", X.slug_column(F.col("p")).alias("s")).collect()} == {p: X.slug(p) for p in paths}

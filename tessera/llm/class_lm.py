@@ -4,14 +4,16 @@ Tokens are ASCII-lower-cased words and one end per document; the end also stands
 
 1. Words are counted over all training documents; so are pairs of adjacent *types*. A type is a frequent word (the
    ``CORE`` most frequent) or, for all others, one of ``SHAPES`` buckets of the last bytes of the word.
-2. Exchange clustering: each type in turn moves to the class that raises the likelihood of the class bigrams most, until a
-   sweep moves little. The driver holds the type pair counts for it, at most (CORE + SHAPES + 1)^2 numbers, a bound of
-   the model and not of the corpus.
-3. Class transitions are smoothed towards class frequencies; a word of a bucket has its share of the bucket's tokens, and
-   all that Good and Turing's estimate (words seen once) leaves of a bucket goes to one unknown word in it: any new word of
-   the bucket counts as that one.
-4. Scoring is one pass over the documents: the ``KNOWN`` most frequent words, with their counts, go along as a dictionary
-   of bounded size; the remaining tokens of a document (about one in fourteen) are joined to the counts on the cluster.
+2. Exchange clustering of types: each in turn moves to the class that raises the likelihood of the class bigrams most, until
+   a sweep moves little. The driver holds the type pair counts for it, at most (CORE + SHAPES + 1)^2 numbers.
+3. Exchange clustering of the vocabulary: for each of the ``KNOWN`` most frequent words beyond the core, the classes before
+   and after it are counted over all training documents, on the cluster, and it moves from its bucket's class to the class
+   that explains them best. Only rarer words stay with their bucket.
+4. Class bigrams are counted again, with the final classes, and smoothed towards class frequencies. A known word has its
+   share of its class; a rarer one its share of its bucket; and all that Good and Turing's estimate (words seen once) leaves
+   of a bucket goes to one unknown word in it: any new word of the bucket counts as that one.
+5. Scoring is one pass over the documents: the known words, with their classes and counts, go along as a dictionary of
+   bounded size; the remaining tokens of a document (about one in fourteen) are joined to the counts on the cluster.
 
 Counts are exact and over all training documents. Scores are log10, rounded to 9 decimals, since sums of floats depend on
 their order.
@@ -149,6 +151,103 @@ class _Memo(dict):
         return out
 
 
+@dataclass
+class Classes:
+    """Classes of known words, by place (the end at 0), and of buckets."""
+
+    place: dict[bytes, int]
+    cls: np.ndarray
+    shape_cls: np.ndarray
+
+    def coder(self):
+        """A function from words to a class code of each, with the end before and after them: a known word is its place, any other -1 - its bucket."""
+        codes = _Memo(self.place, lambda w: -1 - shape(w))
+        # negative codes count from the end
+        table = np.concatenate([self.cls, self.shape_cls[::-1]])
+
+        def of(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+            at = np.zeros(len(words) + 2, np.int64)
+            at[1:-1] = [codes[w] for w in words]
+            return at, table[at]
+
+        return of
+
+
+def _coded_counts(texts: DataFrame, classes: Classes, codes_of) -> DataFrame:
+    """(code, n) of ``codes_of(places, classes)`` over all texts."""
+    shared = texts.sparkSession.sparkContext.broadcast(classes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = shared.value.coder()
+        held: list[np.ndarray] = []
+        n = 0
+
+        def flushed() -> pa.RecordBatch:
+            code, count = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(code), pa.array(count)], names=["code", "n"])
+
+        for batch in batches:
+            for x in batch.column(0):
+                held.append(codes_of(*coder(words_of(x.as_py()))))
+                n += len(held[-1])
+                if n > 1 << 22:
+                    yield flushed()
+                    held, n = [], 0
+        if held:
+            yield flushed()
+
+    return texts.mapInArrow(run, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n"))
+
+
+def class_pairs(texts: DataFrame, classes: Classes, n_classes: int) -> np.ndarray:
+    """Counts of adjacent classes."""
+    out = np.zeros(n_classes * n_classes)
+    for part in _coded_counts(texts, classes, lambda at, cls: cls[:-1] * n_classes + cls[1:]).toArrow().to_batches():
+        out[part.column(0).to_numpy()] = part.column(1).to_numpy()
+    return out.reshape(n_classes, n_classes)
+
+
+def settle(texts: DataFrame, classes: Classes, between: np.ndarray, counts: np.ndarray, first: int) -> np.ndarray:
+    """Classes of the known words from place ``first`` on: of each, the one that explains best which classes stand before and after it, with all else as it is. The rest keep theirs."""
+    n_classes = len(between)
+
+    def contexts(at: np.ndarray, cls: np.ndarray) -> np.ndarray:
+        here = np.flatnonzero(at[1:-1] >= first) + 1
+        return np.concatenate([at[here] * (2 * n_classes) + cls[here - 1], at[here] * (2 * n_classes) + n_classes + cls[here + 1]])
+
+    smooth = between + 0.1
+    after = np.log(smooth / smooth.sum(1, keepdims=True))  # [c, k]: k after c
+    size = smooth.sum(0)
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            code, n = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            places, row = np.unique(code // (2 * n_classes), return_inverse=True)
+            table = np.zeros((len(places), 2 * n_classes))
+            table[row, code % (2 * n_classes)] = n
+            total = table[:, :n_classes].sum(1, keepdims=True)
+            gain = table[:, :n_classes] @ after + table[:, n_classes:] @ after.T - total * np.log(size + total)
+            gain[:, 0] = -np.inf  # the end's own
+            yield pa.RecordBatch.from_arrays([pa.array(places), pa.array(gain.argmax(1))], names=["place", "cls"])
+
+    # a word's counts are one row, so a word is whole in its batch
+    place = F.floor(F.col("code") / (2 * n_classes))
+    rows = _coded_counts(texts, classes, contexts).groupBy(place.alias("place")).agg(F.collect_list(F.struct("code", "n")).alias("c"))
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                flat = batch.column(0).slice(at, 4096).flatten()
+                if len(flat):
+                    yield from best(iter([pa.RecordBatch.from_arrays([flat.field("code"), flat.field("n")], names=["code", "n"])]))
+
+    found = rows.select("c").mapInArrow(each, "place bigint, cls bigint").toArrow()
+    out = classes.cls.copy()
+    for part in found.to_batches():
+        out[part.column(0).to_numpy()] = part.column(1).to_numpy()
+    return out
+
+
 def _xlogx(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1.0))
 
@@ -238,39 +337,38 @@ def train(texts: DataFrame) -> tuple[Model, DataFrame]:
     pairs = pair_counts(texts, core) if total else np.zeros((1 + CORE + SHAPES,) * 2)
     of = exchange(pairs)
     n_classes = CLASSES
-    type_n = pairs.sum(0)
-    class_n = np.bincount(of, type_n, n_classes)
+    words = [END.encode(), *ranked]
+    c = np.array([known.get(w, 0) for w in words], float)
+    shapes = np.array([shape(w) for w in words])
+    shape_cls = of[1 + CORE + np.arange(SHAPES)]
+    cls = np.concatenate([of[: min(len(words), 1 + CORE)], shape_cls[shapes[1 + CORE :]]])
+    classes = Classes({w: k for k, w in enumerate(words) if k}, cls, shape_cls)
     one = np.zeros((len(of), n_classes))
     one[np.arange(len(of)), of] = 1
     between = one.T @ (pairs @ one)
-    share = (class_n + 0.5) / (class_n + 0.5).sum()
-    transition = np.log10((between + PRIOR * share) / (between.sum(1, keepdims=True) + PRIOR))
-    per_class = np.bincount(of, minlength=n_classes)
-    type_log = np.log10((type_n + 0.1) / (class_n + 0.1 * per_class)[of])
+    if len(words) > 1 + CORE:
+        classes.cls = settle(texts, classes, between, c, 1 + CORE)
+        between = class_pairs(texts, classes, n_classes)
 
-    stats = {}
+    # buckets: of the words that are not known
+    t, once = np.zeros(SHAPES), np.zeros(SHAPES)
     rest = vocabulary.filter(F.col("word") != END).withColumn("shape", _shape_column("word"))
     if total:
-        every = rest.groupBy("shape").agg(F.sum("c").alias("t"), F.count_if(F.col("c") == 1).alias("once")).collect()
-        stats = {r["shape"]: [r["t"], r["once"]] for r in every}
-        for w in core:
-            stats[shape(w)][0] -= known[w]
-            stats[shape(w)][1] -= known[w] == 1
-    t = np.array([stats.get(k, (0, 0))[0] for k in range(SHAPES)], float)
-    once = np.array([stats.get(k, (0, 0))[1] for k in range(SHAPES)], float)
+        for r in rest.groupBy("shape").agg(F.sum("c").alias("t"), F.count_if(F.col("c") == 1).alias("once")).collect():
+            t[r["shape"]], once[r["shape"]] = r["t"], r["once"]
+        np.subtract.at(t, shapes[1:], c[1:])
+        np.subtract.at(once, shapes[1:], c[1:] == 1)
     overall = (once.sum() + 0.5) / (t.sum() + 1)
-    new = np.clip((once + 2 * overall) / (t + 2), 1e-6, 0.999)
+    new = np.where(t > 0, np.clip((once + 2 * overall) / (t + 2), 1e-6, 0.999), 1.0)
 
-    words = [END.encode(), *ranked]
-    types = np.array([0, *[core.get(w) or 1 + CORE + shape(w) for w in ranked]])
-    c = np.array([known.get(w, 0) for w in words], float)
-    log = type_log[types]
-    shapes = types - 1 - CORE
-    out = shapes >= 0
-    log[out] += np.log10((1 - new[shapes[out]]) * c[out] / t[shapes[out]])
+    mass = np.concatenate([c, t]) + 0.1
+    type_cls = np.concatenate([classes.cls, shape_cls])
+    type_log = np.log10(mass / np.bincount(type_cls, mass, n_classes)[type_cls])
+    class_n = between.sum(0)
+    share = (class_n + 0.5) / (class_n + 0.5).sum()
+    transition = np.log10((between + PRIOR * share) / (between.sum(1, keepdims=True) + PRIOR))
     room = total + distinct + 1
-    shape_types = 1 + CORE + np.arange(SHAPES)
-    model = Model(int(total), int(distinct), {w: k for k, w in enumerate(words)}, of[types], log, np.log10((c + 1) / room), transition, of[shape_types], type_log[shape_types], t, new)
+    model = Model(int(total), int(distinct), {w: k for k, w in enumerate(words)}, classes.cls, type_log[: len(words)], np.log10((c + 1) / room), transition, shape_cls, type_log[len(words) :], t, new)
     return model, vocabulary
 
 

@@ -66,3 +66,34 @@ def test_probabilities_sum_to_one(spark):
     texts = spark.createDataFrame([("a b c a b",), ("a c d",)], "text string")
     model, _ = L.train(texts)
     assert np.allclose((10 ** model.transition).sum(1), 1)
+
+
+def test_words_of_a_class_sum_to_one(spark, monkeypatch):
+    monkeypatch.setattr(L, "CORE", 3)
+    monkeypatch.setattr(L.frequent, "__defaults__", (6,))
+    texts = spark.createDataFrame([("a b c a b d e f",), ("a c d g h i j",), ("k l m a b c d",)], "text string")
+    model, words = L.train(texts)
+    counts = {r["word"].encode(): r["c"] for r in words.collect()}
+    assert 4 < len(model.words) < len(counts)
+    total = np.zeros(L.CLASSES)
+    for w, k in model.words.items():
+        total[model.cls[k]] += 10 ** model.word_log[k]
+    for s in range(L.SHAPES):
+        here = sum(c for w, c in counts.items() if w not in model.words and L.shape(w) == s)
+        assert here == model.shape_total[s]
+        # the bucket's rarer words, and its one unknown word
+        inside = (1 - model.shape_new[s]) * (here > 0) + model.shape_new[s]
+        total[model.shape_cls[s]] += 10 ** model.shape_log[s] * inside
+    used = np.bincount(np.concatenate([model.cls, model.shape_cls]), minlength=L.CLASSES) > 0
+    assert np.allclose(total[used], 1)
+
+
+def test_words_beyond_the_core_get_classes_from_their_contexts(spark, monkeypatch):
+    monkeypatch.setattr(L, "CORE", 20)
+    rng = np.random.default_rng(1)
+    # words that stand after x and before y, and the other way round; their last bytes say nothing
+    names = [f"w{i}_{rng.integers(1e6)}" for i in range(80)]
+    text = lambda: " ".join(f"x {rng.choice(names[:40])} y" if rng.random() < 0.5 else f"y {rng.choice(names[40:])} x" for _ in range(80))
+    model, _ = L.train(spark.createDataFrame([(text(),) for _ in range(60)], "text string"))
+    of = [{int(model.cls[model.words[n.encode()]]) for n in part if model.words[n.encode()] > 20} for part in (names[:40], names[40:])]
+    assert not of[0] & of[1]

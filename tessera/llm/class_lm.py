@@ -6,11 +6,11 @@ Tokens are ASCII-lower-cased words and one end per document; the end also stands
    ``CORE`` most frequent) or, for all others, one of ``SHAPES`` buckets of the last bytes of the word.
 2. Exchange clustering of types: each in turn moves to the class that raises the likelihood of the class bigrams most, until
    a sweep moves little. The driver holds the type pair counts for it, at most (CORE + SHAPES + 1)^2 numbers.
-3. Exchange clustering of the vocabulary: for each of the ``KNOWN`` most frequent words beyond the core, the classes before
-   and after it are counted over all training documents, on the cluster, and it moves from its bucket's class to the class
-   that explains them best. Only rarer words stay with their bucket.
-4. Class bigrams are counted again, with the final classes, and smoothed towards class frequencies. A known word has its
-   share of its class; a rarer one its share of its bucket; and all that Good and Turing's estimate (words seen once) leaves
+3. Exchange clustering of the vocabulary: for each word beyond the core that occurs ``OWN`` times or more and is among the
+   ``KNOWN`` most frequent, the classes before and after it are counted over all training documents, on the cluster, and it
+   moves from its bucket's class to the class that explains them best. Only rarer words stay with their bucket.
+4. Class bigrams are counted again, with the final classes, and smoothed towards class frequencies. A word with a class of
+   its own has its share of that; a rarer one its share of its bucket; and all that Good and Turing's estimate (words seen once) leaves
    of a bucket goes to one unknown word in it: any new word of the bucket counts as that one.
 5. Scoring is one pass over the documents: the known words, with their classes and counts, go along as a dictionary of
    bounded size; the remaining tokens of a document (about one in fourteen) are joined to the counts on the cluster.
@@ -44,6 +44,8 @@ SHAPE_BYTES = 4
 CLASSES = 64
 SWEEPS = 8
 KNOWN = 1 << 18
+#: Occurrences from which on a word's own contexts choose its class.
+OWN = 5
 #: Pseudo-counts of class frequencies in a transition.
 PRIOR = 4.0
 END = ""
@@ -207,8 +209,8 @@ def class_pairs(texts: DataFrame, classes: Classes, n_classes: int) -> np.ndarra
     return out.reshape(n_classes, n_classes)
 
 
-def settle(texts: DataFrame, classes: Classes, between: np.ndarray, counts: np.ndarray, first: int) -> np.ndarray:
-    """Classes of the known words from place ``first`` on: of each, the one that explains best which classes stand before and after it, with all else as it is. The rest keep theirs."""
+def settle(texts: DataFrame, classes: Classes, between: np.ndarray, first: int) -> np.ndarray:
+    """Classes of the words, those from place ``first`` on anew: of each, the one that explains best which classes stand before and after it, with all else as it is."""
     n_classes = len(between)
 
     def contexts(at: np.ndarray, cls: np.ndarray) -> np.ndarray:
@@ -341,34 +343,39 @@ def train(texts: DataFrame) -> tuple[Model, DataFrame]:
     c = np.array([known.get(w, 0) for w in words], float)
     shapes = np.array([shape(w) for w in words])
     shape_cls = of[1 + CORE + np.arange(SHAPES)]
-    cls = np.concatenate([of[: min(len(words), 1 + CORE)], shape_cls[shapes[1 + CORE :]]])
-    classes = Classes({w: k for k, w in enumerate(words) if k}, cls, shape_cls)
+    # words come by count, so those with a class of their own are the first ones: the end, the core, and what is frequent enough
+    n_core = min(len(words), 1 + CORE)
+    n_own = max(n_core, 1 + int((c[1:] >= OWN).sum()))
+    classes = Classes({w: k for k, w in enumerate(words[:n_own]) if k}, np.concatenate([of[:n_core], shape_cls[shapes[n_core:n_own]]]), shape_cls)
     one = np.zeros((len(of), n_classes))
     one[np.arange(len(of)), of] = 1
     between = one.T @ (pairs @ one)
-    if len(words) > 1 + CORE:
-        classes.cls = settle(texts, classes, between, c, 1 + CORE)
+    if n_own > n_core:
+        classes.cls = settle(texts, classes, between, n_core)
         between = class_pairs(texts, classes, n_classes)
 
-    # buckets: of the words that are not known
+    # buckets: all other words
     t, once = np.zeros(SHAPES), np.zeros(SHAPES)
     rest = vocabulary.filter(F.col("word") != END).withColumn("shape", _shape_column("word"))
     if total:
         for r in rest.groupBy("shape").agg(F.sum("c").alias("t"), F.count_if(F.col("c") == 1).alias("once")).collect():
             t[r["shape"]], once[r["shape"]] = r["t"], r["once"]
-        np.subtract.at(t, shapes[1:], c[1:])
-        np.subtract.at(once, shapes[1:], c[1:] == 1)
+        np.subtract.at(t, shapes[1:n_own], c[1:n_own])
+        np.subtract.at(once, shapes[1:n_own], c[1:n_own] == 1)
     overall = (once.sum() + 0.5) / (t.sum() + 1)
     new = np.where(t > 0, np.clip((once + 2 * overall) / (t + 2), 1e-6, 0.999), 1.0)
 
-    mass = np.concatenate([c, t]) + 0.1
+    mass = np.concatenate([c[:n_own], t]) + 0.1
     type_cls = np.concatenate([classes.cls, shape_cls])
     type_log = np.log10(mass / np.bincount(type_cls, mass, n_classes)[type_cls])
     class_n = between.sum(0)
     share = (class_n + 0.5) / (class_n + 0.5).sum()
     transition = np.log10((between + PRIOR * share) / (between.sum(1, keepdims=True) + PRIOR))
+    others = shapes[n_own:]
+    log = np.concatenate([type_log[:n_own], type_log[n_own + others] + np.log10((1 - new[others]) * c[n_own:] / np.maximum(t[others], 1))])
+    cls = np.concatenate([classes.cls, shape_cls[others]])
     room = total + distinct + 1
-    model = Model(int(total), int(distinct), {w: k for k, w in enumerate(words)}, classes.cls, type_log[: len(words)], np.log10((c + 1) / room), transition, shape_cls, type_log[len(words) :], t, new)
+    model = Model(int(total), int(distinct), {w: k for k, w in enumerate(words)}, cls, log, np.log10((c + 1) / room), transition, shape_cls, type_log[n_own:], t, new)
     return model, vocabulary
 
 

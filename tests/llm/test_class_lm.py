@@ -3,6 +3,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import _common as C
@@ -68,8 +69,10 @@ def test_probabilities_sum_to_one(spark):
     assert np.allclose((10 ** model.transition).sum(1), 1)
 
 
-def test_words_of_a_class_sum_to_one(spark, monkeypatch):
-    monkeypatch.setattr(L, "CORE", 3)
+@pytest.mark.parametrize("own", [1, 3, L.OWN])
+def test_words_of_a_class_sum_to_one(spark, monkeypatch, own):
+    monkeypatch.setattr(L, "CORE", 2)
+    monkeypatch.setattr(L, "OWN", own)
     monkeypatch.setattr(L.frequent, "__defaults__", (6,))
     texts = spark.createDataFrame([("a b c a b d e f",), ("a c d g h i j",), ("k l m a b c d",)], "text string")
     model, words = L.train(texts)
@@ -78,12 +81,11 @@ def test_words_of_a_class_sum_to_one(spark, monkeypatch):
     total = np.zeros(L.CLASSES)
     for w, k in model.words.items():
         total[model.cls[k]] += 10 ** model.word_log[k]
-    for s in range(L.SHAPES):
-        here = sum(c for w, c in counts.items() if w not in model.words and L.shape(w) == s)
-        assert here == model.shape_total[s]
-        # the bucket's rarer words, and its one unknown word
-        inside = (1 - model.shape_new[s]) * (here > 0) + model.shape_new[s]
-        total[model.shape_cls[s]] += 10 ** model.shape_log[s] * inside
+    for w in counts.keys() - model.words.keys():
+        s = L.shape(w)
+        total[model.shape_cls[s]] += 10 ** model.shape_log[s] * (1 - model.shape_new[s]) * counts[w] / model.shape_total[s]
+    for s in range(L.SHAPES):  # the one unknown word of each bucket
+        total[model.shape_cls[s]] += 10 ** model.shape_log[s] * model.shape_new[s]
     used = np.bincount(np.concatenate([model.cls, model.shape_cls]), minlength=L.CLASSES) > 0
     assert np.allclose(total[used], 1)
 

@@ -77,12 +77,15 @@ def removals(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def _applied(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """cut(df) with ``stay``: the chunks that remain."""
     gone = removals(df, id_col, text_col)
-    n = gone.count()
+    # the bound is on chunks, 16 bytes each, since a document may lose any number of them
+    n = gone.agg(F.coalesce(F.sum(F.size("gone")), F.lit(0))).first()[0]
     gone = gone.withColumnRenamed("id", "gone_id")
     out = cut(df, id_col, text_col)
-    out = out.join(C.small_side(gone, n, 50_000), out["id"].eqNullSafe(F.col("gone_id")), "left").drop("gone_id")
-    here = F.filter("chunks", lambda c: F.col("gone").isNull() | c["h"].isNull() | ~F.array_contains("gone", F.struct(c["pos"].alias("pos"), c["h"].alias("h"))))
-    return out.withColumn("stay", here)
+    out = out.join(C.small_side(gone, n), out["id"].eqNullSafe(F.col("gone_id")), "left").drop("gone_id")
+    # a chunk's place is its index; a row that repeats an id with another text has other hashes there
+    own = F.filter("gone", lambda g: F.get(F.col("chunks"), g["pos"])["h"] == g["h"])
+    places = F.array_except(F.sequence(F.lit(0), F.size("chunks") - 1), F.transform(own, lambda g: g["pos"]))
+    return out.withColumn("stay", F.when(F.col("gone").isNull(), F.col("chunks")).otherwise(F.transform(places, lambda p: F.get(F.col("chunks"), p))))
 
 
 def _kept_text() -> Column:

@@ -111,6 +111,106 @@ def pair_counts(texts: DataFrame, core: dict[bytes, int]) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         type_of = _Memo(shared.value, lambda w: 1 + CORE + shape(w))
+        tally = Tally(n_types * n_types)
+        for batch in batches:
+            for x in batch.column(0):
+                words = words_of(x.as_py())
+                ids = np.zeros(len(words) + 2, np.int64)
+                ids[1:-1] = [type_of[w] for w in words]
+                tally.add(ids[:-1] * n_types + ids[1:])
+        yield tally.rows()
+
+    table = texts.mapInArrow(run, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(n_types * n_types)  # doubles hold counts exactly up to 2**53
+    for part in table.to_batches():
+        out[part.column(0).to_numpy()] = part.column(1).to_numpy()
+    return out.reshape(n_types, n_types)
+
+
+class Tally:
+    """Counts of codes under ``size``, in one array: 52 MB for pairs of types."""
+
+    def __init__(self, size: int):
+        self.counts, self.held, self.n = np.zeros(size, np.int64), [], 0
+
+    def add(self, codes: np.ndarray) -> None:
+        self.held.append(codes)
+        self.n += len(codes)
+        if self.n > 1 << 20:
+            self.settle()
+
+    def settle(self) -> None:
+        if self.held:
+            self.counts += np.bincount(np.concatenate(self.held), minlength=len(self.counts))
+            self.held, self.n = [], 0
+
+    def rows(self) -> pa.RecordBatch:
+        self.settle()
+        code = np.flatnonzero(self.counts)
+        return pa.RecordBatch.from_arrays([pa.array(code), pa.array(self.counts[code])], names=["code", "n"])
+
+
+class _Memo(dict):
+    """A dictionary that works out what it lacks, and forgets that part when it grows large."""
+
+    def __init__(self, known: dict, make, room: int = 300_000):
+        super().__init__(known)
+        self.known, self.make, self.most = known, make, len(known) + room
+
+    def __missing__(self, word: bytes):
+        if len(self) >= self.most:
+            self.clear()
+            self.update(self.known)
+        self[word] = out = self.make(word)
+        return out
+
+
+@dataclass
+class Classes:
+    """Classes of known words, by place (the end at 0), and of buckets."""
+
+    place: dict[bytes, int]
+    cls: np.ndarray
+    shape_cls: np.ndarray
+
+    def coder(self):
+        """A function from words to a class code of each, with the end before and after them: a known word is its place, any other -1 - its bucket."""
+        codes = _Memo(self.place, lambda w: -1 - shape(w))
+        # negative codes count from the end
+        table = np.concatenate([self.cls, self.shape_cls[::-1]])
+
+        def of(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+            at = np.zeros(len(words) + 2, np.int64)
+            at[1:-1] = [codes[w] for w in words]
+            return at, table[at]
+
+        return of
+
+
+def class_pairs(texts: DataFrame, classes: Classes, n_classes: int) -> np.ndarray:
+    """Counts of adjacent classes."""
+    shared = texts.sparkSession.sparkContext.broadcast(classes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder, tally = shared.value.coder(), Tally(n_classes * n_classes)
+        for batch in batches:
+            for x in batch.column(0):
+                _, cls = coder(words_of(x.as_py()))
+                tally.add(cls[:-1] * n_classes + cls[1:])
+        yield tally.rows()
+
+    out = np.zeros(n_classes * n_classes)
+    for part in texts.mapInArrow(run, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n")).toArrow().to_batches():
+        out[part.column(0).to_numpy()] = part.column(1).to_numpy()
+    return out.reshape(n_classes, n_classes)
+
+
+def context_counts(texts: DataFrame, classes: Classes, n_classes: int, first: int) -> DataFrame:
+    """(code, n): how often a class stands before (place * 2 * n_classes + class) and after (n_classes more) the word of each place from ``first`` on."""
+    shared = texts.sparkSession.sparkContext.broadcast(classes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = shared.value.coder()
         held: list[np.ndarray] = []
         n = 0
 
@@ -120,22 +220,29 @@ def pair_counts(texts: DataFrame, core: dict[bytes, int]) -> np.ndarray:
 
         for batch in batches:
             for x in batch.column(0):
-                words = words_of(x.as_py())
-                ids = np.zeros(len(words) + 2, np.int64)
-                ids[1:-1] = [type_of[w] for w in words]
-                held.append(ids[:-1] * n_types + ids[1:])
-                n += len(words) + 1
-                if n > 1 << 21:
+                at, cls = coder(words_of(x.as_py()))
+                here = np.flatnonzero(at[1:-1] >= first) + 1
+                base = at[here] * (2 * n_classes)
+                held += [base + cls[here - 1], base + n_classes + cls[here + 1]]
+                n += 2 * len(here)
+                if n > 1 << 22:
                     yield flushed()
                     held, n = [], 0
         if held:
             yield flushed()
 
-    table = texts.mapInArrow(run, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(n_types * n_types)  # doubles hold counts exactly up to 2**53
-    for part in table.to_batches():
-        out[part.column(0).to_numpy()] = part.column(1).to_numpy()
-    return out.reshape(n_types, n_types)
+    return texts.mapInArrow(run, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n"))
+
+
+def settle(self) -> None:
+        if self.held:
+            self.counts += np.bincount(np.concatenate(self.held), minlength=len(self.counts))
+            self.held, self.n = [], 0
+
+    def rows(self) -> pa.RecordBatch:
+        self.settle()
+        code = np.flatnonzero(self.counts)
+        return pa.RecordBatch.from_arrays([pa.array(code), pa.array(self.counts[code])], names=["code", "n"])
 
 
 class _Memo(dict):
@@ -213,10 +320,6 @@ def settle(texts: DataFrame, classes: Classes, between: np.ndarray, first: int)
     """Classes of the words, those from place ``first`` on anew: of each, the one that explains best which classes stand before and after it, with all else as it is."""
     n_classes = len(between)
 
-    def contexts(at: np.ndarray, cls: np.ndarray) -> np.ndarray:
-        here = np.flatnonzero(at[1:-1] >= first) + 1
-        return np.concatenate([at[here] * (2 * n_classes) + cls[here - 1], at[here] * (2 * n_classes) + n_classes + cls[here + 1]])
-
     smooth = between + 0.1
     after = np.log(smooth / smooth.sum(1, keepdims=True))  # [c, k]: k after c
     size = smooth.sum(0)
@@ -234,7 +337,7 @@ def settle(texts: DataFrame, classes: Classes, between: np.ndarray, first: int)
 
     # a word's counts are one row, so a word is whole in its batch
     place = F.floor(F.col("code") / (2 * n_classes))
-    rows = _coded_counts(texts, classes, contexts).groupBy(place.alias("place")).agg(F.collect_list(F.struct("code", "n")).alias("c"))
+    rows = context_counts(texts, classes, n_classes, first).groupBy(place.alias("place")).agg(F.collect_list(F.struct("code", "n")).alias("c"))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -234,88 +234,6 @@ def context_counts(texts: DataFrame, classes: Classes, n_classes: int, first: in
     return texts.mapInArrow(run, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n"))
 
 
-def settle(self) -> None:
-        if self.held:
-            self.counts += np.bincount(np.concatenate(self.held), minlength=len(self.counts))
-            self.held, self.n = [], 0
-
-    def rows(self) -> pa.RecordBatch:
-        self.settle()
-        code = np.flatnonzero(self.counts)
-        return pa.RecordBatch.from_arrays([pa.array(code), pa.array(self.counts[code])], names=["code", "n"])
-
-
-class _Memo(dict):
-    """A dictionary that works out what it lacks, and forgets that part when it grows large."""
-
-    def __init__(self, known: dict, make, room: int = 300_000):
-        super().__init__(known)
-        self.known, self.make, self.most = known, make, len(known) + room
-
-    def __missing__(self, word: bytes):
-        if len(self) >= self.most:
-            self.clear()
-            self.update(self.known)
-        self[word] = out = self.make(word)
-        return out
-
-
-@dataclass
-class Classes:
-    """Classes of known words, by place (the end at 0), and of buckets."""
-
-    place: dict[bytes, int]
-    cls: np.ndarray
-    shape_cls: np.ndarray
-
-    def coder(self):
-        """A function from words to a class code of each, with the end before and after them: a known word is its place, any other -1 - its bucket."""
-        codes = _Memo(self.place, lambda w: -1 - shape(w))
-        # negative codes count from the end
-        table = np.concatenate([self.cls, self.shape_cls[::-1]])
-
-        def of(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-            at = np.zeros(len(words) + 2, np.int64)
-            at[1:-1] = [codes[w] for w in words]
-            return at, table[at]
-
-        return of
-
-
-def _coded_counts(texts: DataFrame, classes: Classes, codes_of) -> DataFrame:
-    """(code, n) of ``codes_of(places, classes)`` over all texts."""
-    shared = texts.sparkSession.sparkContext.broadcast(classes)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = shared.value.coder()
-        held: list[np.ndarray] = []
-        n = 0
-
-        def flushed() -> pa.RecordBatch:
-            code, count = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(code), pa.array(count)], names=["code", "n"])
-
-        for batch in batches:
-            for x in batch.column(0):
-                held.append(codes_of(*coder(words_of(x.as_py()))))
-                n += len(held[-1])
-                if n > 1 << 22:
-                    yield flushed()
-                    held, n = [], 0
-        if held:
-            yield flushed()
-
-    return texts.mapInArrow(run, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n"))
-
-
-def class_pairs(texts: DataFrame, classes: Classes, n_classes: int) -> np.ndarray:
-    """Counts of adjacent classes."""
-    out = np.zeros(n_classes * n_classes)
-    for part in _coded_counts(texts, classes, lambda at, cls: cls[:-1] * n_classes + cls[1:]).toArrow().to_batches():
-        out[part.column(0).to_numpy()] = part.column(1).to_numpy()
-    return out.reshape(n_classes, n_classes)
-
-
 def settle(texts: DataFrame, classes: Classes, between: np.ndarray, first: int) -> np.ndarray:
     """Classes of the words, those from place ``first`` on anew: of each, the one that explains best which classes stand before and after it, with all else as it is."""
     n_classes = len(between)

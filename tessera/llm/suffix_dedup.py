@@ -83,17 +83,18 @@ def _sums(data: np.ndarray, which: int) -> tuple[np.ndarray, np.ndarray]:
 def minimizers(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of each piece: hash of the minimizer, its place, and the first window. data: uint8, of LENGTH or more."""
     sums, down = _sums(data, 0)
-    least = _mixed((sums[GRAM:] - sums[:-GRAM]) * down[: len(sums) - GRAM])
-    place = np.arange(len(least), dtype=np.int32)
+    hashes = _mixed((sums[GRAM:] - sums[:-GRAM]) * down[: len(sums) - GRAM])
+    # 33 bits of hash over 31 of place: strings go by those bits of their hash, then from the left
+    least = (hashes & _U(-1 << 31 & 2**64 - 1)) | np.arange(len(hashes), dtype=_U)
     width, across = 1, LENGTH - GRAM + 1
     while width < across:
         step = min(width, across - width)
-        right = least[step:] < least[:-step]
-        place = np.where(right, place[step:], place[:-step])
         least = np.minimum(least[step:], least[:-step])
         width += step
+    place = (least & _U(2**31 - 1)).astype(np.int32)
     first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
-    return least[first], place[first], first
+    place = place[first]
+    return hashes[place], place, first
 
 
 def _identities(data: np.ndarray, first: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -168,9 +169,80 @@ _PIECE = "i1 bigint, i2 bigint, no_id boolean, id {id}, key bigint, start int, s
 _NAMES = ["i1", "i2", "no_id", "id", "key", "start", "stop", "place", "piece"]
 
 
-def _rows(rows: list[tuple], id_type: pa.DataType) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), pa.bool_(), id_type, pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=_NAMES)
+class _Held:
+    """Texts and pieces that a task holds, to find equal ones before the shuffle. A text is held once, for its earliest document."""
+
+    def __init__(self, id_type: pa.DataType):
+        self.id_type = id_type
+        self.texts: dict[bytes, int] = {}
+        self.docs: list[tuple] = []  # (no_id, id, key)
+        self.raws: list[bytes] = []
+        self.parts: list[tuple[np.ndarray, ...]] = []  # i1, i2, start, stop, place
+        self.owners: list[int] = []
+        self.whole: list[tuple] = []  # documents that are later copies, and their length
+        self.n = 0
+
+    def add(self, doc: object, key: int, raw: bytes, known: np.ndarray) -> None:
+        at = (doc is None, doc if doc is not None else 0, key)
+        digest = hashlib.blake2b(raw, digest_size=16).digest()
+        k = self.texts.get(digest)
+        if k is not None:
+            # the later copy goes whole; the pieces are the earlier one's
+            if at != self.docs[k]:
+                self.whole.append((*max(at, self.docs[k]), len(raw)))
+                self.docs[k] = min(at, self.docs[k])
+            return
+        self.texts[digest] = len(self.docs)
+        self.docs.append(at)
+        data = np.frombuffer(raw, np.uint8)
+        h, place, first = minimizers(data)
+        stop = np.append(first[1:], len(data) - LENGTH + 1) + LENGTH - 1
+        keep = _may_be_in(known, h)
+        place, first, stop = place[keep], first[keep], stop[keep]
+        self.raws.append(raw if len(first) else b"")
+        if len(first):
+            self.parts.append((*_identities(data, first, stop), first, stop, place))
+            self.owners.append(len(self.docs) - 1)
+            self.n += len(first)
+
+    def full(self) -> bool:
+        return self.n > REMEMBER or len(self.docs) > REMEMBER
+
+    def _rows(self, one: np.ndarray, two: np.ndarray, doc: np.ndarray, start: np.ndarray, stop: np.ndarray, place: np.ndarray, pieces: pa.Array) -> pa.RecordBatch:
+        no_id, ids, keys = (pa.array([d[i] if i != 1 or not d[0] else None for d in self.docs], t) for i, t in enumerate((pa.bool_(), self.id_type, pa.int64())))
+        doc = pa.array(doc)
+        made = [pa.array(one), pa.array(two), no_id.take(doc), ids.take(doc), keys.take(doc), *[pa.array(x.astype(np.int32)) for x in (start, stop, place)], pieces]
+        return pa.RecordBatch.from_arrays(made, names=_NAMES)
+
+    def sent(self) -> Iterator[pa.RecordBatch]:
+        """The earliest of equal pieces with its bytes, the others without; then nothing is held any more."""
+        if self.whole:
+            n = len(self.whole)
+            zero, none = pa.array(np.zeros(n, np.int64)), pa.nulls(n, pa.binary())
+            gone = [pa.array([w[i] if i != 1 or not w[0] else None for w in self.whole], t) for i, t in enumerate((pa.bool_(), self.id_type, pa.int64()))]
+            yield pa.RecordBatch.from_arrays([zero, zero, *gone, pa.nulls(n, pa.int32()).fill_null(0), pa.array([w[3] for w in self.whole], pa.int32()), pa.nulls(n, pa.int32()).fill_null(0), none], names=_NAMES)
+        if self.parts:
+            one, two, start, stop, place = (np.concatenate(x) for x in zip(*self.parts))
+            doc = np.repeat(np.array(self.owners), [len(p[0]) for p in self.parts])
+            rank = np.empty(len(self.docs), np.int64)
+            rank[sorted(range(len(self.docs)), key=self.docs.__getitem__)] = np.arange(len(self.docs))
+            order = np.lexsort((rank[doc] << 32 | start, two, one))
+            one, two, start, stop, place, doc = (x[order] for x in (one, two, start, stop, place, doc))
+            first = np.concatenate([[True], (one[1:] != one[:-1]) | (two[1:] != two[:-1])])
+            # of the others, those of a document that overlap become one interval (stops grow with starts)
+            later = np.flatnonzero(~first)
+            later = later[np.lexsort((start[later], doc[later]))]
+            apart = np.ones(len(later), bool)
+            apart[1:] = (doc[later][1:] != doc[later][:-1]) | (start[later][1:] > stop[later][:-1])
+            last = stop[later][np.append(np.flatnonzero(apart)[1:], len(later)) - 1] if len(later) else stop[later]
+            later = later[apart]
+            for at in np.array_split(np.arange(len(later)), len(later) // 20_000 + 1) if len(later) else ():
+                zero = np.zeros(len(at), np.int64)
+                yield self._rows(zero, zero, doc[later[at]], start[later[at]], last[at], zero, pa.nulls(len(at), pa.binary()))
+            for at in np.array_split(np.flatnonzero(first), first.sum() // 20_000 + 1):
+                pieces = [self.raws[d][a:b] for d, a, b in zip(doc[at].tolist(), start[at].tolist(), stop[at].tolist())]
+                yield self._rows(one[at], two[at], doc[at], start[at], stop[at], place[at] - start[at], pa.array(pieces, pa.binary()))
+        self.__init__(self.id_type)
 
 
 def _pieces(docs: DataFrame, bloom: np.ndarray) -> DataFrame:
@@ -178,72 +250,21 @@ def _pieces(docs: DataFrame, bloom: np.ndarray) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(bloom)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict[tuple[int, int], tuple] = {}
-        texts: dict[bytes, tuple] = {}
-        out: list[tuple] = []
-        known = shared.value
+        held = None
         for batch in batches:
-            id_type = batch.column(0).type
+            held = held or _Held(batch.column(0).type)
             for x, k, t in zip(batch.column(0), batch.column(1), batch.column(2)):
                 raw = _bytes(t)
-                if len(raw) < LENGTH:
-                    continue
-                doc, key = x.as_py(), k.as_py()
-                at = (doc is None, doc if doc is not None else 0, key)
-                whole = hashlib.blake2b(raw, digest_size=16).digest()
-                other = texts.get(whole)
-                if other is None:
-                    if len(texts) < REMEMBER:
-                        texts[whole] = at
-                elif at == other:
-                    continue
-                elif at > other:
-                    out.append((0, 0, doc is None, doc, key, 0, len(raw), 0, None))
-                    continue
-                else:
-                    # an earlier copy: the other goes whole, and its pieces take the place of the other's below
-                    texts[whole] = at
-                    out.append((0, 0, other[0], None if other[0] else other[1], other[2], 0, len(raw), 0, None))
-                data = np.frombuffer(raw, np.uint8)
-                h, place, first = minimizers(data)
-                stop = np.append(first[1:], len(data) - LENGTH + 1) + LENGTH - 1
-                keep = _may_be_in(known, h)
-                place, first, stop = place[keep], first[keep], stop[keep]
-                if not len(first):
-                    continue
-                one, two = _identities(data, first, stop)
-                for i1, i2, a, b, p in zip(one.tolist(), two.tolist(), first.tolist(), stop.tolist(), place.tolist()):
-                    now = (*at, a, b, p - a, raw)
-                    before = best.get((i1, i2))
-                    if before is None:
-                        best[i1, i2] = now[:6] + (raw[a:b],)
-                    elif now[:4] < before[:4]:
-                        if before[:3] != other:
-                            out.append((0, 0, before[0], None if before[0] else before[1], before[2], before[3], before[4], 0, None))
-                        best[i1, i2] = now[:6] + (before[6],)
-                    elif now[:4] > before[:4]:
-                        out.append((0, 0, at[0], doc, key, a, b, 0, None))
-                if len(best) > REMEMBER:
-                    yield from _sent(best, id_type)
-                    best.clear()
-                    texts.clear()
-                if len(out) > 50_000:
-                    yield _rows(out, id_type)
-                    out = []
-        if out:
-            yield _rows(out, id_type)
-        if best:
-            yield from _sent(best, id_type)
+                if len(raw) >= LENGTH:
+                    held.add(x.as_py(), k.as_py(), raw, shared.value)
+                    if held.full():
+                        yield from held.sent()
+        if held:
+            yield from held.sent()
 
     return docs.mapInArrow(run, _PIECE.format(id=docs.schema["id"].dataType.simpleString()))
 
 
-def _sent(best: dict, id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
-    items = list(best.items())
-    for at in range(0, len(items), 20_000):
-        yield _rows([(*k, v[0], None if v[0] else v[1], v[2], v[3], v[4], v[5], v[6]) for k, v in items[at : at + 20_000]], id_type)
-
-
 def _earliest(pieces: DataFrame) -> DataFrame:
     """Of equal pieces the earliest with its bytes; the others, and what was known to be removed, without."""
     near = pieces.repartition("i1", "i2", F.when(F.col("piece").isNull(), F.xxhash64("id", "start")))
@@ -252,18 +273,24 @@ def _earliest(pieces: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, where = None, None
         for batch in batches:
-            cols = [c.to_pylist() for c in batch.columns[:6]]
-            i1, i2 = cols[0], cols[1]
-            has = np.array(batch.column(8).is_valid())
-            drop = np.zeros(batch.num_rows, bool)
-            skip = np.zeros(batch.num_rows, bool)
-            for r in np.flatnonzero(has).tolist():
-                now, here = (i1[r], i2[r]), (cols[3][r], cols[4][r], cols[5][r])
-                if now == last:
-                    drop[r] = True
-                    skip[r] = here == where  # a row that repeats the first one's document
-                else:
-                    last, where = now, here
+            # rows without a piece may stand between those of a group: only rows with one are looked at
+            has = np.flatnonzero(batch.column(8).is_valid().to_numpy(zero_copy_only=False))
+            one, two = (batch.column(c).to_numpy()[has] for c in (0, 1))
+            new = np.ones(len(has), bool)
+            new[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1])
+            if len(has):
+                new[0] = last != (one[0], two[0])
+                last = (one[-1], two[-1])
+            drop, skip = np.zeros(batch.num_rows, bool), np.zeros(batch.num_rows, bool)
+            drop[has[~new]] = True
+            of = np.maximum.accumulate(np.where(new, np.arange(len(has)), -1))
+            here = lambda r: tuple(batch.column(c)[r].as_py() for c in (3, 4, 5))
+            for j in np.flatnonzero(~new).tolist():
+                # a row that repeats the first one's document
+                r = int(has[j])
+                skip[r] = here(r) == (here(int(has[of[j]])) if of[j] >= 0 else where)
+            if len(has) and of[-1] >= 0:
+                where = here(int(has[of[-1]]))
             piece = pc.if_else(pa.array(drop), pa.scalar(None, pa.binary()), batch.column(8))
             yield pa.RecordBatch.from_arrays([*batch.columns[:8], piece], names=_NAMES).filter(pa.array(~skip))
 
@@ -271,18 +298,18 @@ def _earliest(pieces: DataFrame) -> DataFrame:
 
 
 def _sides(pieces: DataFrame) -> DataFrame:
-    """A row for each side of a piece's minimizer with SIDE bytes: side (hash of the minimizer with them), and the part of the piece whose windows have them."""
+    """A row for each side of a piece's minimizer with SIDE bytes: side (hash of the minimizer with them), and the part of the piece whose windows have them, with the minimizer's place in it (at)."""
     left = F.when(
         F.col("place") >= SIDE,
-        F.struct(F.xxhash64(F.lit(0), F.substr("piece", F.col("place") + 1 - SIDE, F.lit(SIDE + GRAM))).alias("side"), F.lit(0).alias("cut"), (F.col("place") + LENGTH - SIDE).alias("n")),
+        F.struct(F.xxhash64(F.lit(0), F.substr("piece", F.col("place") + 1 - SIDE, F.lit(SIDE + GRAM))).alias("side"), F.lit(0).alias("cut"), (F.col("place") + LENGTH - SIDE).alias("n"), F.col("place").alias("at")),
     )
     cut = F.greatest(F.lit(0), F.col("place") + GRAM + SIDE - LENGTH)
     right = F.when(
         F.octet_length("piece") - F.col("place") - GRAM >= SIDE,
-        F.struct(F.xxhash64(F.lit(1), F.substr("piece", F.col("place") + 1, F.lit(SIDE + GRAM))).alias("side"), cut.alias("cut"), F.octet_length("piece").alias("n")),
+        F.struct(F.xxhash64(F.lit(1), F.substr("piece", F.col("place") + 1, F.lit(SIDE + GRAM))).alias("side"), cut.alias("cut"), F.octet_length("piece").alias("n"), (F.col("place") - cut).alias("at")),
     )
     out = pieces.select("no_id", "id", "key", "start", "piece", F.explode(F.array_compact(F.array(left, right))).alias("s"))
-    return out.select("no_id", "id", "key", (F.col("start") + F.col("s.cut")).alias("start"), F.substr("piece", F.col("s.cut") + 1, F.col("s.n") - F.col("s.cut")).alias("piece"), F.col("s.side").alias("side"))
+    return out.select("no_id", "id", "key", (F.col("start") + F.col("s.cut")).alias("start"), F.substr("piece", F.col("s.cut") + 1, F.col("s.n") - F.col("s.cut")).alias("piece"), F.col("s.side").alias("side"), F.col("s.at").alias("at"))
 
 
 def shared_windows(strings: list[bytes], order: list[tuple]) -> list[tuple[int, int, int]]:
@@ -329,9 +356,18 @@ def shared_windows(strings: list[bytes], order: list[tuple]) -> list[tuple[int,
     return [(int(k), int(a - starts[k]), int(b - starts[k]) + LENGTH) for k, a, b in zip(owner[gone[cut]].tolist(), gone[cut], gone[last])]
 
 
+def _reach(x: bytes, a: int, y: bytes, b: int) -> int:
+    """How long x and y are equal about the minimizer, which is at a and b of them."""
+    right = min(len(x) - a, len(y) - b) - GRAM
+    left = min(a, b)
+    after = int.from_bytes(x[a + GRAM : a + GRAM + right]) ^ int.from_bytes(y[b + GRAM : b + GRAM + right])
+    before = int.from_bytes(x[a - left : a], "little") ^ int.from_bytes(y[b - left : b], "little")
+    return GRAM + right + left - (after.bit_length() + 7) // 8 - (before.bit_length() + 7) // 8
+
+
 def _by_suffix_arrays(sided: DataFrame) -> DataFrame:
     """Intervals of pieces whose windows occur in an earlier piece of the same side."""
-    near = sided.select("side", "no_id", "id", "key", "start", "piece").repartition("side").sortWithinPartitions("side")
+    near = sided.select("side", "no_id", "id", "key", "start", "piece", "at").repartition("side").sortWithinPartitions("side")
     id_type = sided.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -360,6 +396,11 @@ def _by_suffix_arrays(sided: DataFrame) -> DataFrame:
                     gone.append((row[1], row[2], row[3], row[3] + len(row[4])))
             if len(first) < 2:
                 return 0
+            if len(first) == 2:
+                # two that are equal for less than a window about the minimizer share none here
+                (x, one), (y, two) = first.items()
+                if _reach(x, one[5], y, two[5]) < LENGTH:
+                    return 0
             ready.extend(first.values())
             return sum(map(len, first))
 

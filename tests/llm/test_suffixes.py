@@ -102,3 +102,20 @@ def test_shared_windows_are_grouped_by_owner():
     for k, x, y in S.shared_windows([a, a, b], [(False, 1, 0, 0), (False, 0, 0, 0), (False, 2, 0, 0)]):
         groups[k].append((x, y))
     assert groups == {0: [(0, 120)], 2: [(0, 110)]}
+
+
+def test_reach_about_the_minimizer():
+    gram = bytes(range(S.GRAM))
+    assert S._reach(b"abc" + gram + b"de", 3, b"xbc" + gram + b"dfe", 3) == S.GRAM + 3
+    assert S._reach(b"bc" + gram, 2, b"abc" + gram + b"d", 3) == S.GRAM + 2
+    assert S._reach(gram, 0, gram, 0) == S.GRAM
+
+
+@pytest.mark.parametrize("remember", [S.REMEMBER, 40])
+def test_overlapping_repeats_in_one_task(spark, remember, monkeypatch):
+    monkeypatch.setattr(S, "REMEMBER", remember)
+    rng = random.Random(5)
+    passages = ["".join(rng.choice("abcdefgh ") for _ in range(rng.randint(150, 500))) for _ in range(5)]
+    rows = [(i if i % 7 else None, " ".join(rng.choice(passages)[rng.randint(0, 40) :] + rng.choice("xyz") for _ in range(rng.randint(1, 5)))) for i in range(40)]
+    rows = [r for k, r in enumerate(rows) if r[0] is not None or k == 0]
+    check(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1))

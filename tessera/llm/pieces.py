@@ -27,7 +27,7 @@ decode to nothing. Null ids give null. Repeated rows give equal ids. Empty table
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -59,6 +59,8 @@ BLOCK = 32
 TASK_BYTES = 4 << 20
 MOST_TASKS = 50_000
 STEPS = 16
+#: Characters by which the lattice knows how long a piece may be there.
+HEAD = 4
 
 
 @dataclass
@@ -195,12 +197,15 @@ def unit_counts(texts: DataFrame, model: Model, tasks: int) -> DataFrame:
     shared = texts.sparkSession.sparkContext.broadcast(model.cut)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut, words, counts = shared.value, Counter(), Counter()
+        cut, words, counts = shared.value, Counter(), defaultdict(int)
 
         def to_units() -> None:
             for w, n in words.items():
-                for u in units_of(w, cut):
-                    counts[u] += n
+                if len(w) < LONG and w.isalpha():
+                    counts[" " + w] += n
+                else:
+                    for u in units_of(w, cut):
+                        counts[u] += n
             words.clear()
 
         def flushed() -> pa.RecordBatch:
@@ -224,8 +229,8 @@ def unit_counts(texts: DataFrame, model: Model, tasks: int) -> DataFrame:
 
 
 def reaches(pieces: DataFrame, model: Model) -> DataFrame:
-    """(two, reach): for the first two characters of pieces, the longest piece that has them."""
-    return pieces.filter("length(piece) > 1").groupBy(F.substring("piece", 1, 2).alias("two")).agg(F.max(F.length("piece")).alias("reach"))
+    """(head, reach): for the first HEAD characters of pieces, the longest piece that has them."""
+    return pieces.filter(F.length("piece") >= HEAD).groupBy(F.substring("piece", 1, HEAD).alias("head")).agg(F.max(F.length("piece")).alias("reach"))
 
 
 def lattice(units: DataFrame, pieces: DataFrame, reach: DataFrame, model: Model) -> DataFrame:
@@ -236,31 +241,34 @@ def lattice(units: DataFrame, pieces: DataFrame, reach: DataFrame, model: Model)
     blocks = blocks.select("h", "k", "n", "from", F.when(F.col("from") == 0, F.struct("unit", "c")).alias("own"), F.expr(f"substring(unit, from + 1, {RUN + model.longest})").alias("part"))
     edges = blocks.select("h", "k", "n", "from", "own", "part", F.explode(F.expr(f"sequence(0, least({RUN}, length(part)) - 1)")).alias("at"))
     edges = edges.select("h", "k", "n", (F.col("from") + F.col("at")).alias("a"), F.when(F.col("at") == 0, F.col("own")).alias("own"), F.expr(f"substring(part, at + 1, {model.longest})").alias("near"))
-    edges = edges.withColumn("two", F.substring("near", 1, 2)).join(F.broadcast(reach), "two", "left")
-    edges = edges.select("h", "k", "n", "a", "near", "own", F.explode(F.expr("sequence(1, least(length(near), coalesce(reach, 1)))")).alias("long"))
+    edges = edges.withColumn("head", F.substring("near", 1, HEAD)).join(F.broadcast(reach), "head", "left")
+    edges = edges.select("h", "k", "n", "a", "near", "own", F.explode(F.expr(f"sequence(1, least(length(near), coalesce(reach, {HEAD - 1})))")).alias("long"))
     edges = edges.select("h", "k", "n", "a", "long", F.when(F.col("long") == 1, F.col("own")).alias("own"), F.expr("substring(near, 1, long)").alias("piece"))
     edges = edges.join(F.broadcast(pieces), "piece", "left").filter("id IS NOT NULL OR long = 1")
-    # a character that is no piece is an edge that nothing merges with, and its ids are those of its bytes
-    byte_ids = ", ".join(map(str, model.byte_ids))
-    of_bytes = f"transform(sequence(1, octet_length(piece)), k -> element_at(array({byte_ids}), 1 + cast(conv(substring(hex(piece), 2 * k - 1, 2), 16, 10) AS int)))"
+    # a character that is no piece is an edge that nothing merges with; it has no id, and its ids are those of its bytes
     # bits of an edge's two boundaries and of those inside it, in the unit's word of boundaries, or from its block of them on
     edges = edges.withColumn("low", F.expr(f"if(n < {LONG}, a, a % {BLOCK})"))
     both = F.expr("shiftleft(1L, low) | shiftleft(1L, low + long)")
     inside = F.expr("shiftleft(shiftleft(1L, long - 1) - 1L, low + 1)")
-    edge = F.struct(F.coalesce("r", F.lit(NEVER)).alias("r"), (F.col("a") + F.coalesce("off", F.lit(0))).alias("turn"), "span", "later", "a", both.alias("both"), inside.alias("inside"), F.expr(f"if(id IS NULL, {of_bytes}, array(id))").alias("ids"))
+    edge = F.struct(F.coalesce("r", F.lit(NEVER)).alias("r"), (F.col("a") + F.coalesce("off", F.lit(0))).alias("turn"), "span", "later", "a", both.alias("both"), inside.alias("inside"), "id")
     words = edges.groupBy("h", "k").agg(F.first("own", ignorenulls=True).alias("own"), F.sort_array(F.collect_list(edge)).alias("edges"))
     tokens = F.when(F.length("own.unit") < LONG, F.expr(_fold_word())).otherwise(F.expr(_fold_blocks()))
-    return words.select("own.unit", "own.c", F.flatten(F.transform(F.sort_array(tokens), lambda t: t["ids"])).alias("ids"))
+    byte_ids = ", ".join(map(str, model.byte_ids))
+    sign = "hex(substring(unit, t.a + 1, 1))"
+    of_bytes = f"transform(sequence(1, length({sign}), 2), k -> element_at(array({byte_ids}), 1 + cast(conv(substring({sign}, k, 2), 16, 10) AS int)))"
+    words = words.select("own.unit", "own.c", F.sort_array(tokens).alias("tokens"))
+    ids = f"if(exists(tokens, t -> t.id IS NULL), flatten(transform(tokens, t -> if(t.id IS NULL, {of_bytes}, array(t.id)))), tokens.id)"
+    return words.select("unit", "c", F.expr(ids).alias("ids"))
 
 
 #: Whether an edge can be merged, where w are the boundaries about it: its ends are boundaries, and one more inside it. And whether it is a token: none inside.
 _MERGES = "(w & e.both) = e.both AND bit_count(w & e.inside) = 1"
 _IS_TOKEN = "(w & e.both) = e.both AND (w & e.inside) = 0"
-_TOKEN = "struct(e.a AS a, e.ids AS ids)"
+_TOKEN = "struct(e.a AS a, e.id AS id)"
 
 
 def _fold_word() -> str:
-    """Tokens (a, ids) of a unit whose ``edges`` come by rank and place: at first all boundaries stand, and an edge that can be merged takes the one inside it away. All boundaries are one word of 64 bits."""
+    """Tokens (a, id) of a unit whose ``edges`` come by rank and place: at first all boundaries stand, and an edge that can be merged takes the one inside it away. All boundaries are one word of 64 bits."""
     fold = f"aggregate(edges, shiftleft(1L, length(own.unit) + 1) - 1L, (w, e) -> if({_MERGES}, w & ~e.inside, w))"
     return f"get(transform(array({fold}), w -> transform(filter(edges, e -> {_IS_TOKEN}), e -> {_TOKEN})), 0)"
 
@@ -338,13 +346,15 @@ class _Codes(dict):
             self.passing.append(word)
             self[word] = out = (len(self.known) + self.rare.setdefault(" " + word, len(self.rare))).to_bytes(4, "little")
             return out
-        codes = [self.known.get(u) or u for u in units_of(word, self.cut)]
-        lacking = [i for i, c in enumerate(codes) if isinstance(c, str)]
-        for i in lacking:
-            codes[i] = (len(self.known) + self.rare.setdefault(codes[i], len(self.rare))).to_bytes(4, "little")
-        if lacking:
-            self.passing.append(word)
-        self[word] = out = b"".join(codes)
+        out, before = b"", len(self.passing)
+        for u in units_of(word, self.cut):
+            code = self.known.get(u)
+            if code is None:
+                code = (len(self.known) + self.rare.setdefault(u, len(self.rare))).to_bytes(4, "little")
+                if len(self.passing) == before:
+                    self.passing.append(word)
+            out += code
+        self[word] = out
         return out
 
     def next_chunk(self) -> list[str]:
@@ -395,8 +405,7 @@ def encode(df: DataFrame, text_col: str = "text", out_col: str = "ids", model: M
             while at < batch.num_rows:
                 codes, lengths, size, first = [], [], 0, at
                 while at < batch.num_rows and size < CHUNK:
-                    parts = [look[w] for w in words_of(texts[at].as_py())]
-                    codes.append(b"".join(parts))
+                    codes.append(b"".join(map(look.__getitem__, words_of(texts[at].as_py()))))
                     lengths.append(len(codes[-1]) // 4)
                     size += lengths[-1]
                     at += 1

@@ -337,9 +337,8 @@ class _Codes(dict):
     def __init__(self, known: list[str], cut: tuple, room: int = 150_000):
         super().__init__()
         self.known = {u: i.to_bytes(4, "little") for i, u in enumerate(known)}
-        self.own = {u[1:]: c for u, c in self.known.items() if u[0] == " " and u[1:].isalpha()}
-        self.update(self.own)
-        self.cut, self.room, self.rare, self.passing = cut, room, {}, []
+        self.update((u[1:], c) for u, c in self.known.items() if u[0] == " " and u[1:].isalpha())
+        self.cut, self.room, self.rare, self.passing, self.others = cut, room, {}, [], []
 
     def __missing__(self, word: str) -> bytes:
         if len(word) < LONG and word.isalpha():  # one unit, and none of the dictionary's
@@ -354,6 +353,8 @@ class _Codes(dict):
                 if len(self.passing) == before:
                     self.passing.append(word)
             out += code
+        if len(self.passing) == before:
+            self.others.append(word)
         self[word] = out
         return out
 
@@ -364,9 +365,10 @@ class _Codes(dict):
         for w in self.passing:
             self.pop(w, None)
         self.passing = []
-        if len(self) > len(self.own) + self.room:
-            self.clear()
-            self.update(self.own)
+        if len(self.others) > self.room:
+            for w in self.others:
+                self.pop(w, None)
+            self.others = []
         return out
 
 

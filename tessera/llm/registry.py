@@ -1,6 +1,6 @@
 """Queries of this subpackage and their SQL."""
 
-from . import class_lm, exact_dedup, line_dedup, media, mixing, pieces, secret_scan, simhash, suffix_dedup, toxicity
+from . import class_lm, exact_dedup, line_dedup, media, merkle, mixing, pieces, secret_scan, simhash, suffix_dedup, toxicity
 
 
 def queries() -> dict:
@@ -15,8 +15,9 @@ def queries() -> dict:
         "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
         "op9_mixing": mixing.op9_mixing,
         "op10_toxicity": toxicity.op10_toxicity,
+        "op11_merkle": merkle.op11_merkle,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op1_exact_dedup": exact_dedup.SQL, "op7_line_dedup": line_dedup.SQL, "op9_mixing": mixing.SQL}
+    return {"op1_exact_dedup": exact_dedup.SQL, "op7_line_dedup": line_dedup.SQL, "op9_mixing": mixing.SQL, "op11_merkle": merkle.SQL}

@@ -7,7 +7,7 @@ One suffix array over a corpus cannot be built in one place, so strings meet by
    pieces with one minimizer hash.
 2. Minimizer hashes are counted. Hashes that occur twice or more go into a Bloom filter of fixed size, and a second pass
    over the texts lets only pieces through whose minimizer is in it.
-3. Equal pieces (128 bits of hash, and minimizer) meet; all but the earliest are removed whole. Tasks do so for their own
+3. Equal pieces (BLAKE2b-128 of their bytes) meet; all but the earliest are removed whole. Tasks do so for their own
    pieces before the shuffle, so a passage of any number of copies sends one piece a task.
 4. What is left differs, and may still share windows: with at least 34 bytes on one side of the minimizer. Pieces meet by
    the minimizer with those 34 bytes, left and right, where two or more do, and suffix arrays over their strings
@@ -49,7 +49,7 @@ CROWD = 5000
 REMEMBER = 400_000
 
 _U = np.uint64
-_FIRST, _SECOND, _MIX = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F
+_BASE, _MIX = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 
 
 class _Powers:
@@ -65,7 +65,7 @@ class _Powers:
         return self.up, self.down
 
 
-_powers = _Powers(_FIRST), _Powers(_SECOND)
+_powers = _Powers(_BASE)
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -73,8 +73,8 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _U(29))
 
 
-def _sums(data: np.ndarray, which: int) -> tuple[np.ndarray, np.ndarray]:
-    up, down = _powers[which].upto(len(data) + 1)
+def _sums(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    up, down = _powers.upto(len(data) + 1)
     out = np.zeros(len(data) + 1, _U)
     np.cumsum((data.astype(_U) + _U(1)) * up[: len(data)], out=out[1:])
     return out, down
@@ -82,7 +82,7 @@ def _sums(data: np.ndarray, which: int) -> tuple[np.ndarray, np.ndarray]:
 
 def minimizers(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of each piece: hash of the minimizer, its place, and the first window. data: uint8, of LENGTH or more."""
-    sums, down = _sums(data, 0)
+    sums, down = _sums(data)
     hashes = _mixed((sums[GRAM:] - sums[:-GRAM]) * down[: len(sums) - GRAM])
     # 33 bits of hash over 31 of place: strings go by those bits of their hash, then from the left
     least = (hashes & _U(-1 << 31 & 2**64 - 1)) | np.arange(len(hashes), dtype=_U)
@@ -97,13 +97,11 @@ def minimizers(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return hashes[place], place, first
 
 
-def _identities(data: np.ndarray, first: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """128 bits of hash of data[first:stop], for each."""
-    out = []
-    for k in (0, 1):
-        sums, down = _sums(data, k)
-        out.append(_mixed(((sums[stop] - sums[first]) * down[first]) ^ (stop - first).astype(_U)).view(np.int64))
-    return out[0], out[1]
+def _identities(raw: bytes, first: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """BLAKE2b-128 of raw[first:stop], for each, as two numbers. It decides that pieces are equal, so it must be a hash that no text can be made to collide in, as sums of powers can."""
+    found = b"".join([hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(first.tolist(), stop.tolist())])
+    both = np.frombuffer(found, "<i8").reshape(-1, 2)
+    return both[:, 0].copy(), both[:, 1].copy()
 
 
 def _bytes(x: pa.Scalar) -> bytes:
@@ -201,7 +199,7 @@ class _Held:
         place, first, stop = place[keep], first[keep], stop[keep]
         self.raws.append(raw if len(first) else b"")
         if len(first):
-            self.parts.append((*_identities(data, first, stop), first, stop, place))
+            self.parts.append((*_identities(raw, first, stop), first, stop, place))
             self.owners.append(len(self.docs) - 1)
             self.n += len(first)
 

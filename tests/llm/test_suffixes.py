@@ -2,6 +2,7 @@ import hashlib
 import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -119,3 +120,24 @@ def test_overlapping_repeats_in_one_task(spark, remember, monkeypatch):
     rows = [(i if i % 7 else None, " ".join(rng.choice(passages)[rng.randint(0, 40) :] + rng.choice("xyz") for _ in range(rng.randint(1, 5)))) for i in range(40)]
     rows = [r for k, r in enumerate(rows) if r[0] is not None or k == 0]
     check(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1))
+
+
+def colliding() -> tuple[str, str]:
+    """Two texts of 160 characters that differ and agree in sums of c[i] * b**i modulo 2**64 for every odd b: their difference is a product of factors x**n - 1, each even and most divisible by more than 2."""
+    diff = [1]
+    for n in (1, 2, 3, 4, 4, 4, 4, 6, 8, 10, 10, 12, 12, 16, 16, 16, 28):
+        diff = [(diff[i - n] if i >= n else 0) - (diff[i] if i < len(diff) else 0) for i in range(len(diff) + n)]
+    diff += [0] * (160 - len(diff))
+    low = [79 - d // 2 for d in diff]
+    return "".join(map(chr, low)), "".join(chr(c + d) for c, d in zip(low, diff))
+
+
+@pytest.mark.parametrize("parts", [1, 4])
+def test_texts_made_to_collide(spark, parts):
+    a, b = colliding()
+    for base in (S._BASE, 0xD6E8FEB86659FD93, 3):
+        assert sum((ord(x) - ord(y)) * pow(base, i, 1 << 64) for i, (x, y) in enumerate(zip(a, b))) % (1 << 64) == 0
+    assert a != b and a.isascii() and b.isascii()
+    whole = np.array([0]), np.array([160])
+    assert all(x != y for x, y in zip(S._identities(a.encode(), *whole), S._identities(b.encode(), *whole)))
+    check(spark.createDataFrame([(1, a), (2, a), (3, b), (4, b)], "doc_id long, text string").repartition(parts))

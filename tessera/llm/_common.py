@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -102,6 +105,24 @@ def forget(spark: SparkSession, *tables: DataFrame) -> int:
     return len(gone)
 
 
+def trim() -> None:
+    """Give what a Python worker has freed back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def trimmed(run):
+    """``run`` over a task's batches, and :func:`trim` when it ends: workers live on between stages."""
+
+    def wrapped(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        trim()
+
+    return wrapped
+
+
 def planned_bytes(df: DataFrame) -> int:
     """The planner's estimate of a table's size; 0 if it has none."""
     n = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())

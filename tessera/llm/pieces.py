@@ -224,7 +224,7 @@ def unit_counts(texts: DataFrame, model: Model, tasks: int) -> DataFrame:
         if counts:
             yield flushed()
 
-    counted = texts.mapInArrow(run, "unit string, n bigint").withColumn("h", F.xxhash64("unit"))
+    counted = texts.mapInArrow(C.trimmed(run), "unit string, n bigint").withColumn("h", F.xxhash64("unit"))
     return counted.repartition(tasks, "h").groupBy("h", "unit").agg(F.sum("n").alias("c"))
 
 
@@ -331,25 +331,39 @@ def _gathered(at: np.ndarray, flat: np.ndarray, starts: np.ndarray) -> tuple[np.
 class _Codes(dict):
     """Codes (bytes of uint32) of words: places in the dictionary, or numbers from its size on for units that it lacks, in the order they come up.
 
-    It holds the words that are one unit of the dictionary, and remembers up to ``room`` others that have only such units.
+    It holds the words that are one unit of the dictionary (those units stand here alone), and remembers up to ``room`` others that have only such units.
     """
 
-    def __init__(self, known: list[str], cut: tuple, room: int = 150_000):
+    def __init__(self, known: pa.Array, cut: tuple, room: int = 150_000):
         super().__init__()
-        self.known = {u: i.to_bytes(4, "little") for i, u in enumerate(known)}
-        self.update((u[1:], c) for u, c in self.known.items() if u[0] == " " and u[1:].isalpha())
+        self.n, self.known = len(known), {}
+        for at in range(0, self.n, 1 << 14):
+            for i, u in enumerate(known.slice(at, 1 << 14).to_pylist(), at):
+                if u[0] == " " and u[1:].isalpha():
+                    self[u[1:]] = i.to_bytes(4, "little")
+                else:
+                    self.known[u] = i.to_bytes(4, "little")
         self.cut, self.room, self.rare, self.passing, self.others = cut, room, {}, [], []
 
+    def _unit(self, u: str) -> bytes | None:
+        """The code of a unit of the dictionary. A word of letters has a longer code, or a number from n on, where it is none."""
+        code = self.known.get(u)
+        if code is None and u[0] == " " and u[1:].isalpha():
+            code = self.get(u[1:])
+            if code is not None and (len(code) != 4 or int.from_bytes(code, "little") >= self.n):
+                return None
+        return code
+
     def __missing__(self, word: str) -> bytes:
         if len(word) < LONG and word.isalpha():  # one unit, and none of the dictionary's
             self.passing.append(word)
-            self[word] = out = (len(self.known) + self.rare.setdefault(" " + word, len(self.rare))).to_bytes(4, "little")
+            self[word] = out = (self.n + self.rare.setdefault(" " + word, len(self.rare))).to_bytes(4, "little")
             return out
         out, before = b"", len(self.passing)
         for u in units_of(word, self.cut):
-            code = self.known.get(u)
+            code = self._unit(u)
             if code is None:
-                code = (len(self.known) + self.rare.setdefault(u, len(self.rare))).to_bytes(4, "little")
+                code = (self.n + self.rare.setdefault(u, len(self.rare))).to_bytes(4, "little")
                 if len(self.passing) == before:
                     self.passing.append(word)
             out += code
@@ -400,7 +414,7 @@ def encode(df: DataFrame, text_col: str = "text", out_col: str = "ids", model: M
 
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         units, cut = shared.value
-        look = _Codes(units.to_pylist(), cut)
+        look = _Codes(units, cut)
         numbers = C.bucket_numbers(TaskContext.get().partitionId(), buckets)
         for batch in batches:
             texts, rows, at = batch.column(0), batch.column(1), 0
@@ -415,7 +429,7 @@ def encode(df: DataFrame, text_col: str = "text", out_col: str = "ids", model: M
                 yield pa.RecordBatch.from_arrays(made, names=["chunk", "rows", "lengths", "codes", "rare"])
 
     # a task's chunks are one bucket of the table, so they meet what comes back to them without a shuffle
-    table = C.written_buckets(base.mapInArrow(chunks, f"chunk bigint, rows array<{row_type}>, lengths array<int>, codes binary, rare array<string>"), "chunks", "chunk", buckets)
+    table = C.written_buckets(base.mapInArrow(C.trimmed(chunks), f"chunk bigint, rows array<{row_type}>, lengths array<int>, codes binary, rare array<string>"), "chunks", "chunk", buckets)
     # what the dictionary lacks is joined by unit (a rare one, so no key is hot), and goes back to its chunk
     asked = table.select("chunk", F.posexplode("rare").alias("at", "unit"))
     rare = encoded.filter(_step() < words.least) if words.least is not None else encoded
@@ -449,7 +463,7 @@ def encode(df: DataFrame, text_col: str = "text", out_col: str = "ids", model: M
                 made = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([rows.flatten(), made, *([texts(made)] if texts else [])], names=["row", "ids", *(["decoded"] if texts else [])])
 
-    out = whole.select("rows", "lengths", "codes", "n_rare", "found").mapInArrow(fill, f"row {row_type}, ids array<int>" + (", decoded string" if decoded_col else ""))
+    out = whole.select("rows", "lengths", "codes", "n_rare", "found").mapInArrow(C.trimmed(fill), f"row {row_type}, ids array<int>" + (", decoded string" if decoded_col else ""))
     return out.select(*[F.col("row")[n].alias(c) for c, n in zip(keep, names)], F.col("ids").alias(out_col), *([F.col("decoded").alias(decoded_col)] if decoded_col else []))
 
 

@@ -76,7 +76,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             fp = np.fromiter((fingerprint(x.as_py()) for x in batch.column(1)), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], names=["id", "fp"])
 
-    return base.mapInArrow(run, f"id {base.schema['id'].dataType.simpleString()}, fp bigint")
+    return base.mapInArrow(C.trimmed(run), f"id {base.schema['id'].dataType.simpleString()}, fp bigint")
 
 
 def gray_rank(codes: np.ndarray) -> np.ndarray:
@@ -216,7 +216,7 @@ def links(codes: DataFrame, rows: int) -> DataFrame:
         if n:
             yield _forest(*(np.concatenate(x) for x in zip(*held)))
 
-    return spread.select("fp", "shift", "key").mapInArrow(run, "a bigint, b bigint")
+    return spread.select("fp", "shift", "key").mapInArrow(C.trimmed(run), "a bigint, b bigint")
 
 
 def annotate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

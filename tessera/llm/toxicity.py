@@ -171,6 +171,7 @@ def score(df: DataFrame, model: Model, text_col: str = "text", out_col: str = "t
         one = model.scorer()
         for texts in batches:
             yield pd.Series([one(t) for t in texts], dtype="float64")
+        C.trim()
 
     return df.withColumn(out_col, scored(df[text_col].cast("string")))
 

@@ -36,5 +36,5 @@ def test_stages_against_plain_python(spark):
 
 
 def test_registry():
-    assert [int(n[2:].split("_")[0]) for n in registry.queries()] == list(range(1, 11))
+    assert [int(n[2:].split("_")[0]) for n in registry.queries()] == list(range(1, 14))
     assert set(registry.oracle_sql()) <= set(registry.queries()) and simhash.MOST == 4

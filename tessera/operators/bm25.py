@@ -7,7 +7,9 @@ are ordered, and ties go by id.
 
 from __future__ import annotations
 
+import math
 from collections import Counter
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -17,6 +19,10 @@ from ..functions import text as X
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 TOP_K = 10
+#: Bits of a chunk id inside a block of postings.
+BLOCK_BITS = 7
+#: Blocks whose scores set the threshold, for each row that is wanted; blocks that a scan may be asked for by name.
+FIRST_BLOCKS, NAMED_BLOCKS = 4, 4096
 
 
 @dataclass
@@ -109,3 +115,76 @@ def search_postings(index: DataFrame, lengths: DataFrame, terms: list[str], k: i
         met = met.join(allowed, "chunk_id", "left_semi")
     found = met.groupBy("chunk_id").agg(F.count(F.lit(1)).alias("n"), F.round(per_term, 9).alias("score")).filter(F.col("n") == len(times)).drop("n")
     return top(found, k)
+
+
+def blocked(rows: DataFrame) -> DataFrame:
+    """Postings (term, chunk_id, doc_id, tf, dl) in blocks: a term's postings of 2^BLOCK_BITS neighbouring chunk ids are one row, with what bounds their scores from above: the greatest tf and the least dl. No window over a term, so a frequent term is many groups."""
+    block = F.shiftright("chunk_id", BLOCK_BITS).alias("block")
+    held = rows.groupBy("term", block).agg(F.sort_array(F.collect_list(F.struct("chunk_id", "doc_id", "tf", "dl"))).alias("p"))
+    return held.select("term", "block", F.size("p").alias("n"), F.array_max("p.tf").alias("max_tf"), F.array_min("p.dl").alias("min_dl"), F.col("p.chunk_id").alias("chunk_ids"), F.col("p.doc_id").alias("doc_ids"), F.col("p.tf").alias("tfs"), F.col("p.dl").alias("dls"))
+
+
+def opened(blocks: DataFrame) -> DataFrame:
+    """Blocks -> a row for each posting."""
+    mine = ("n", "max_tf", "min_dl", "chunk_ids", "doc_ids", "tfs", "dls")
+    one = F.explode(F.arrays_zip("chunk_ids", "doc_ids", "tfs", "dls")).alias("p")
+    return blocks.select(*[c for c in blocks.columns if c not in mine], one).select("*", F.col("p.chunk_ids").alias("chunk_id"), F.col("p.doc_ids").alias("doc_id"), F.col("p.tfs").alias("tf"), F.col("p.dls").alias("dl")).drop("p", "block")
+
+
+@dataclass
+class Found:
+    """The k best (chunk_id, score, rank), and how many ranges of chunk ids have all terms, and were opened."""
+
+    hits: DataFrame
+    blocks: int
+    opened: int
+
+
+def search_blocks(index: DataFrame, of: Stats, terms: list[str], k: int = TOP_K, live: Callable[[DataFrame], DataFrame] | None = None) -> Found:
+    """Blocks of postings -> the k best chunks that have all terms, as :func:`search_postings` ranks them, without opening blocks that cannot hold one.
+
+    A block's bounds give the most that any of its postings can add; what they add up to over the terms bounds every chunk
+    of a range of ids. The ranges with the greatest bounds are opened first, the k-th best score there is the threshold,
+    and of the others only those with a greater bound are opened. ``live`` takes postings and returns those that count as
+    hits; ``of`` are the statistics, whatever is live.
+    """
+    times, k = Counter(terms), k if k > 0 else TOP_K
+    spark = index.sparkSession
+    nothing = Found(spark.createDataFrame([], "chunk_id bigint, score double, rank int"), 0, 0)
+    if not times or any(not of.n_t.get(t) for t in times):
+        return nothing
+    mine = index.filter(F.col("term").isin(*times))
+    weight = {t: n * max(math.log(x) if (x := (of.nd - of.n_t[t] + 0.5) / (of.n_t[t] + 0.5)) > 0 else LEAST_IDF, LEAST_IDF) for t, n in times.items()}
+    of_term = F.create_map(*[F.lit(x) for pair in weight.items() for x in pair])[F.col("term")]
+    bounds = mine.groupBy("block", "term").agg(F.max(part(of_term, F.col("max_tf"), F.col("min_dl"), F.lit(of.avgdl))).alias("most"))
+    bounds = bounds.groupBy("block").agg(F.sum("most").alias("most"), F.count(F.lit(1)).alias("terms")).filter(F.col("terms") == len(times)).select("block", "most").persist()
+    try:
+        total = bounds.count()
+        first = [r["block"] for r in bounds.orderBy(F.desc("most"), "block").limit(FIRST_BLOCKS * k).collect()]
+
+        def scores(blocks: DataFrame) -> DataFrame:
+            rows = opened(blocks)
+            rows = live(rows) if live else rows
+            per_term = F.lit(0.0)
+            for t, n in times.items():
+                own = F.max(F.when(F.col("term") == t, F.col("tf")))
+                per_term = per_term + n * part(idf(F.lit(of.nd), F.lit(of.n_t[t])), own, F.first("dl"), F.lit(of.avgdl))
+            met = rows.groupBy("chunk_id").agg(F.count(F.lit(1)).alias("n"), F.round(per_term, 9).alias("score"))
+            return top(met.filter(F.col("n") == len(times)).drop("n"), k).select("chunk_id", "score", "rank")
+
+        best = scores(mine.filter(F.col("block").isin(first))).collect() if first else []
+        known = spark.createDataFrame(best, "chunk_id bigint, score double, rank int")
+        # a bound and a score may differ in their last bits
+        rest = bounds.filter(~F.col("block").isin(first)) if first else bounds
+        rest = rest.filter(F.col("most") >= best[-1]["score"] - 1e-6) if len(best) == k else rest
+        n = rest.count()
+        if not n:
+            return Found(known, total, len(first))
+        if n <= NAMED_BLOCKS:
+            more = mine.filter(F.col("block").isin([r["block"] for r in rest.select("block").collect()]))
+        else:
+            more = mine.join(rest.select("block"), "block", "left_semi")
+        others = spark.createDataFrame(scores(more).collect(), known.schema)
+        return Found(top(known.unionByName(others).drop("rank"), k).select("chunk_id", "score", "rank"), total, len(first) + n)
+    finally:
+        bounds.unpersist()

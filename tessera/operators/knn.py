@@ -17,8 +17,9 @@ def distances(vectors: DataFrame, query: list[float], vector_col: str = "vector"
     return vectors.withColumn("distance", F.round(V.cosine_distance(F.col(vector_col), q, norm_b=F.lit(norm)), 9)).drop(vector_col)
 
 
-def search(vectors: DataFrame, query: list[float], k: int = TOP_K, id_col: str = "chunk_id", vector_col: str = "vector", where: Column | None = None) -> DataFrame:
-    """The k nearest: distance, rank, and score = 1 / (1 + distance). Each task keeps k rows."""
+def search(vectors: DataFrame, query: list[float], k: int = TOP_K, id_col: str = "chunk_id", vector_col: str = "vector", where: Column | None = None, live: DataFrame | None = None) -> DataFrame:
+    """The k nearest: distance, rank, and score = 1 / (1 + distance). Each task keeps k rows. ``live``: ids (one column, named as ``id_col``) of rows that count."""
     rows = vectors if where is None else vectors.filter(where)
+    rows = rows if live is None else rows.join(live, id_col, "left_semi")
     near = distances(rows, query, vector_col).orderBy("distance", id_col).limit(k if k > 0 else TOP_K)
     return near.withColumns({"rank": F.row_number().over(Window.orderBy("distance", id_col)), "score": F.round(V.similarity(F.col("distance")), 9)})

@@ -13,6 +13,7 @@ from ..config import Search
 from ..functions import snippets
 from ..functions import text as X
 from ..functions.stemming import term
+from ..plans import indexing
 from ..plans.store import Store
 from . import bm25, fusion, knn
 
@@ -48,18 +49,18 @@ class Searcher:
         return [term(t) for t in X.query_terms(query, self.unicode_terms)]
 
     def _bm25(self, query: str, collection: str, k: int) -> DataFrame:
-        lengths, postings = self.store.table("chunk_len"), self.store.table("postings")
-        live = lengths.join(self._live(collection).select("doc_id"), "doc_id", "left_semi").select("chunk_id")
-        if self.stats_scope == "active":
-            every = lengths.join(self._live("").select("doc_id"), "doc_id", "left_semi")
-            lengths, postings = every, postings.join(every.select("chunk_id"), "chunk_id", "left_semi")
-        return bm25.search_postings(postings, lengths, self._terms(query), k, live)
+        """Statistics are read, not counted, and only blocks of postings that may hold a result are opened."""
+        now, terms = self.store.manifest, self._terms(query)
+        blocks, docs = self.store.blocks(now), self._live(collection).select("doc_id")
+        if blocks is None:
+            return self.store.spark.createDataFrame([], "chunk_id bigint, score double, rank int")
+        of = indexing.statistics(self.store, terms, self.stats_scope, now)
+        live = lambda rows: self.store.live("posting_blocks", rows, now).join(docs, "doc_id", "left_semi")
+        return bm25.search_blocks(blocks, of, terms, k, live).hits
 
     def _knn(self, vector: list[float], collection: str, k: int) -> DataFrame:
-        chunks = self.store.table("chunks").select(F.col("id").alias("chunk_id"), "doc_id")
-        live = chunks.join(self._live(collection).select("doc_id"), "doc_id", "left_semi").select("chunk_id")
-        vectors = self.store.table("chunk_vectors").join(live, "chunk_id", "left_semi")
-        return knn.search(vectors, vector, k)
+        live = self.store.table("embeddings").join(self._live(collection).select("doc_id"), "doc_id", "left_semi").select("chunk_id")
+        return knn.search(self.store.table("chunk_vectors").select("chunk_id", "vector"), vector, k, live=live)
 
     def _shown(self, hits: DataFrame, query: str, opts: Options) -> DataFrame:
         """hits (chunk_id, score, explain fields) of at most a few hundred rows -> results."""

@@ -41,14 +41,14 @@ class Cache:
         self.store = store
 
     def get(self, model: str, text: str) -> str | None:
-        row = self.store.table("llm_cache").filter(F.col("key") == key_of(model, text)).select("response").first()
+        row = self.store.cached(key_of(model, text)).select("response").first()
         return row[0] if row else None
 
     def set(self, model: str, text: str, response: str) -> None:
-        with self.store.writing():
-            old = self.store.table("llm_cache")
-            new = self.store.spark.createDataFrame([(key_of(model, text), model, response)], "key string, model string, response string").withColumn("created_at", F.date_trunc("second", F.current_timestamp()))
-            self.store.commit(llm_cache=old.join(new, "key", "left_anti").unionByName(new))
+        """Appends; of answers with one key the last one counts. Concurrent writers both go in."""
+        new = self.store.spark.createDataFrame([(key_of(model, text), model, response)], "key string, model string, response string")
+        self.store.commit(add={"llm_cache": new.withColumn("created_at", F.date_trunc("second", F.current_timestamp()))})
+        self.store.compact(["llm_cache"])
 
 
 def ask(searcher: Searcher, generator, question: str, collection: str = "") -> Answer:

@@ -14,17 +14,16 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions import vectors as V
-from ..operators import bm25, chunking, fusion, knn, markdown
+from ..operators import bm25, chunking, fusion, knn, parsing
 from . import catalog, indexing
 
 TERMS = ["this", "with"]
-MARKUP = """(VALUES
-  (1, '# One' || chr(10) || 'first line of text' || chr(10) || chr(10) || 'second line' || chr(10) || '## Two' || chr(10) || '```' || chr(10) || 'code here and more code' || chr(10) || '```' || chr(10) || '  '),
-  (2, chr(10) || chr(10) || 'a line that is longer than the others by a good deal' || chr(10) || '~~~' || chr(10) || 'x' || chr(10) || chr(10) || '#hash'),
-  (3, 'naïve café ' || chr(10) || '   ' || chr(10) || '# kopf' || chr(10) || 'ende'),
-  (4, '')
-) AS t(doc_id, text)"""
-MARKDOWN = ["# A\ntext a\n## B\n\ntext b\n### C\nc\n## D\nd\n", "intro\n\nTitle\n=====\n- item one\n- item two\n\n```\n# no heading\n```\n", "# H1\n### H3\nx\n### H3b\ny\n"]
+#: Documents as marked-up lines: a heading, a fence, sentences as lines, an open fence and a line of spaces; in Spark's SQL and in DuckDB's.
+MARKUP = """SELECT doc_id, '# ' || coalesce(source, 'none') || chr(10) || '```' || chr(10) || replace(coalesce(text, ''), '. ', '.' || chr(10)) || chr(10) || '~~~' || chr(10) || chr(10) || '  #' || coalesce(lang, '') || chr(10) || '  ' AS text FROM documents"""
+#: Documents as Markdown with headings of several levels inside quotes and list items, fences with a sign in them, and lazy lines.
+MARKDOWN = """SELECT doc_id, 'start ' || doc_id || chr(10) || '# ' || source || chr(10) || 'under ' || lang || chr(10) || '> ## in quote ' || (doc_id % 5) || chr(10) || '> quoted ' || doc_id || chr(10)
+  || 'lazy' || chr(10) || chr(10) || '- item' || chr(10) || '  ### in item' || chr(10) || '  ```' || chr(10) || '  # no heading ' || doc_id || chr(10) || '  ```' || chr(10) || '- next' || chr(10)
+  || 'Title' || (doc_id % 3) || chr(10) || chr(10) || 'Rule ' || lang || chr(10) || '---' || chr(10) || '    code ' || doc_id || chr(10) || chr(10) || '> > # ' || lang || ' #' || chr(10) || '> > deep' AS text FROM documents"""
 QUESTION = "What is the best of them?"
 
 
@@ -89,9 +88,20 @@ def postings(spark, sf):
 
 
 def bm25_indexed(spark, sf):
-    tokens = bm25.tokenized(_docs(spark, sf).select("chunk_id", "text"))
-    lengths = tokens.select("chunk_id", F.size("tokens").alias("dl"))
-    return bm25.search_postings(bm25.postings(tokens), lengths, list(TERMS)).select("chunk_id", "score")
+    """An index of the query's terms, and a search that opens the blocks it needs; texts are read once."""
+    terms = list(TERMS)
+    kept = F.filter("tokens", lambda t: t.isin(terms))
+    held = bm25.tokenized(_spread(_docs(spark, sf).select("chunk_id", "text"))).select("chunk_id", F.size("tokens").alias("dl"), kept.alias("tokens")).persist()
+    try:
+        posted = bm25.postings(held.filter(F.size("tokens") > 0)).join(held.select("chunk_id", "dl"), "chunk_id").withColumn("doc_id", F.col("chunk_id"))
+        nd, avgdl = held.agg(F.count(F.lit(1)), F.avg("dl")).first()
+        blocks = bm25.blocked(posted).persist()
+        n_t = {r["term"]: r["n"] for r in blocks.groupBy("term").agg(F.sum("n").alias("n")).collect()}
+        found = bm25.search_blocks(blocks, bm25.Stats(nd, avgdl, n_t), terms).hits.select("chunk_id", "score")
+        blocks.unpersist()
+        return found
+    finally:
+        held.unpersist()
 
 
 def knn_topk(spark, sf):
@@ -104,8 +114,8 @@ def knn_collection(spark, sf):
 
 def knn_active_join(spark, sf):
     live = _docs(spark, sf).filter("active").select("chunk_id", "collection", "path")
-    near = knn.distances(_vectors(spark, sf), _query_vector(spark, sf)).drop("label")
-    return near.join(live, "chunk_id").orderBy("distance", "chunk_id").limit(10)
+    near = knn.search(_vectors(spark, sf).drop("label"), _query_vector(spark, sf), live=live.select("chunk_id"))
+    return near.select("chunk_id", "distance").join(live, "chunk_id")
 
 
 def cosine_zero_norm(spark, sf):
@@ -156,19 +166,23 @@ def chunk_seq(spark, sf):
     return c.agg(F.count(F.lit(1)).alias("docs"), F.count_if((F.col("lo") == 0) & (F.col("hi") == F.col("n") - 1)).alias("gapless"))
 
 
+def _made(spark, sf, sql):
+    """Rows of ``sql`` over the documents, without a table in the catalog."""
+    return spark.sql(sql.replace("FROM documents", "FROM {documents}"), documents=spark.read.parquet(f"{sf}/documents.parquet"))
+
+
 def chunk_markup(spark, sf):
-    rows = spark.sql(f"SELECT CAST(doc_id AS bigint) AS doc_id, text FROM {MARKUP}")
-    return chunking.chunk_sections(_sections(rows), 50).select("doc_id", F.col("seq").cast("long").alias("seq"), "text")
+    return chunking.chunk_sections(_sections(_made(spark, sf, MARKUP)), 50).select("doc_id", F.col("seq").cast("long").alias("seq"), "text")
 
 
 def line_scores(spark, sf):
-    rows = spark.sql(f"SELECT CAST(doc_id AS bigint) AS doc_id, text FROM {MARKUP}")
-    lines = rows.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("i", "line"))
+    lines = _made(spark, sf, MARKUP).select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("i", "line"))
     return lines.select("doc_id", F.col("i").cast("long").alias("i"), chunking.line_score(F.col("line")).cast("long").alias("line_score"))
 
 
 def content_dedup(spark, sf):
-    return _hashed(spark, sf).groupBy("content_hash").agg(F.min("chunk_id").alias("first_id"), F.count(F.lit(1)).alias("copies"))
+    docs = _hashed(spark, sf).select(F.col("content_hash").alias("hash"), F.col("chunk_id").alias("id"), "text")
+    return indexing.contents(docs, "text").select(F.col("hash").alias("content_hash"), "first_id", "copies")
 
 
 def content_addressed_join(spark, sf):
@@ -245,8 +259,10 @@ def index_run_audit(spark, sf):
 
 
 def heading_paths(spark, sf):
-    rows = [(i, s.heading_path, s.text, s.ordinal) for i, t in enumerate(MARKDOWN) for s in markdown.parse(t)[1]]
-    return spark.createDataFrame(rows, "doc_id long, heading_path string, text string, ordinal int")
+    """Sections of Markdown, through the parser that files go through."""
+    files = _made(spark, sf, MARKDOWN).select("doc_id", F.lit("a.md").alias("path"), F.col("text").cast("binary").alias("body"))
+    s = parsing.parsed(files).select("doc_id", "title", F.posexplode("sections").alias("i", "s"))
+    return s.select("doc_id", "title", F.col("i").cast("long").alias("i"), "s.heading_path", "s.text", F.col("s.ordinal").cast("long").alias("ordinal"))
 
 
 def titles(spark, sf):
@@ -309,7 +325,7 @@ def _chunk_sql(rows: str, target: int) -> str:
 
 
 _ROWS = "SELECT doc_id, coalesce(text, '') AS text FROM documents"
-_MARKUP_ROWS = f"SELECT doc_id::BIGINT AS doc_id, text FROM {MARKUP}"
+_MARKUP_ROWS = MARKUP
 _STOP = ", ".join(f"'{w}'" for w in sorted(X.STOP_WORDS))
 
 SQL = {
@@ -332,6 +348,16 @@ SQL = {
     "chunk_stats": f"SELECT doc_id, count(*) AS chunks, sum(content_length)::BIGINT AS bytes FROM ({_chunk_sql(_ROWS, 512)}) GROUP BY doc_id",
     "chunk_seq": f"SELECT count(*) AS docs, count(*) FILTER (lo = 0 AND hi = n - 1) AS gapless FROM (SELECT doc_id, min(seq) AS lo, max(seq) AS hi, count(*) AS n FROM ({_chunk_sql(_ROWS, 256)}) GROUP BY doc_id)",
     "chunk_markup": f"SELECT doc_id, seq, text FROM ({_chunk_sql(_MARKUP_ROWS, 50)})",
+    "heading_paths": f"""WITH m AS ({MARKDOWN}), d AS (SELECT d.doc_id, d.source, d.lang, m.text AS body FROM documents d JOIN m ON d.doc_id = m.doc_id),
+      s AS (SELECT doc_id, source AS title, body, unnest([
+        {{'i': 0, 'path': '', 'text': 'start ' || doc_id, 'mark': ''}},
+        {{'i': 1, 'path': source, 'text': 'under ' || lang, 'mark': '# '}},
+        {{'i': 2, 'path': source || ' > in quote ' || (doc_id % 5), 'text': 'quoted ' || doc_id || chr(10) || 'lazy' || chr(10) || '- item', 'mark': '> ## '}},
+        {{'i': 3, 'path': source || ' > in quote ' || (doc_id % 5) || ' > in item', 'text': '# no heading ' || doc_id || chr(10) || '- next Title' || (doc_id % 3), 'mark': '  ### '}},
+        {{'i': 4, 'path': source || ' > Rule ' || lang, 'text': 'code ' || doc_id, 'mark': 'Title' || (doc_id % 3) || chr(10) || chr(10)}},
+        {{'i': 5, 'path': lang, 'text': 'deep', 'mark': '> > # '}}]) AS x FROM d)
+      SELECT doc_id, title, x.i::BIGINT AS i, x.path AS heading_path, x.text AS text,
+             CASE WHEN x.i = 0 THEN 0 ELSE strlen(substr(body, 1, instr(body, chr(10) || x.mark) + length(x.mark)))::BIGINT END AS ordinal FROM s""",
     "line_scores": f"""SELECT doc_id, i, (CASE WHEN b LIKE '#%' THEN 100 WHEN b LIKE '```%' OR b LIKE '~~~%' THEN 80 WHEN b = '' THEN 20 ELSE 0 END)::BIGINT AS line_score
       FROM (SELECT doc_id, i, regexp_replace(line, '^\\s+', '') AS b FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM ({_MARKUP_ROWS})))""",
     "content_dedup": f"SELECT content_hash, min(chunk_id) AS first_id, count(*) AS copies FROM ({_D}) GROUP BY content_hash",
@@ -360,4 +386,4 @@ SQL = {
     "slugs": "SELECT p_partkey, coalesce(nullif(trim(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '-'), ''), 'collection') AS slug FROM part",
     "rank_windows": "SELECT o_custkey, o_orderkey, o_totalprice, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders QUALIFY rank <= 2",
 }
-QUERIES = {name: globals()[name] for name in [*SQL, "heading_paths"]}
+QUERIES = {name: globals()[name] for name in SQL}

@@ -61,3 +61,41 @@ def test_listing_keeps_hidden_names(tree):
 def test_unreadable_files_have_an_error(spark, tree):
     rows = {r["path"]: r for r in listing.read_files(spark, tree, ["a.md", "gone.md"]).collect()}
     assert bytes(rows["a.md"]["body"]) == b"text" and rows["gone.md"]["error"] and rows["gone.md"]["hash"] is None
+
+
+# Block examples after the public CommonMark text, as far as sections see them: text, and (heading path, text) of its sections.
+CONTAINERS = [
+    ("> quote\n> # inner\n> more\n", [("", "quote"), ("inner", "more")]),
+    ("> # Foo\n> bar\n> baz\n", [("Foo", "bar\nbaz")]),
+    (">bar\nbaz\n> foo\n", [("", "bar\nbaz\nfoo")]),
+    ("> bar\n\nbaz\n", [("", "bar\nbaz")]),
+    ("> > > # deep\n> > > foo\nbar\n", [("deep", "foo\nbar")]),
+    ("> ```\n> # code\n> ```\nafter\n", [("", "# code\nafter")]),
+    ("> ```\n# out\n", [("out", "")]),
+    ("- # Foo\n- Bar\n  ---\n  baz\n", [("Foo > Bar", "baz")]),
+    ("- a\n  # in item\n  text\n- b\n", [("", "- a"), ("in item", "text\n- b")]),
+    ("- a\n\n  second\n\n- b\n", [("", "- a\nsecond\n- b")]),
+    ("1.  one\n\n    # h\n\n    two\n\n2. three\n", [("", "- one"), ("h", "two\n- three")]),
+    ("- foo\n  - bar\n    - baz\n", [("", "- foo\n- bar\n- baz")]),
+    ("- foo\n\n      bar\n", [("", "- foo\nbar")]),
+    ("- > quoted\n  > # h\n  > in both\nlazy\n", [("", "quoted"), ("h", "in both\nlazy")]),
+    ("> - item\n> # h\ntext\n", [("", "- item"), ("h", "text")]),
+    ("Foo\n---\n> a\n---\n", [("Foo", "a")]),
+    ("> foo\n---\n", [("", "foo")]),
+    ("- foo\n***\n- bar\n", [("", "- foo\n- bar")]),
+    ("* a *\n- - x\n", [("", "- a *\n- x")]),
+    ("The number is\n14. pens\n", [("", "The number is\n14. pens")]),
+    ("Now\n1. pens\n", [("", "Now\n- pens")]),
+    ("``` x`y\n# h\n", [("", "``` x`y")]),
+    ("  - a\n    b\n c\n", [("", "- a b c")]),
+]
+
+
+@pytest.mark.parametrize("text, want", CONTAINERS)
+def test_containers(text, want):
+    assert paths(text) == [w for w in want if w[1]]
+
+
+def test_ordinals_in_containers():
+    text = "é\n> # One\n> a\n\n- ## Two\n  b\n"
+    assert [(s.heading_path, s.ordinal) for s in markdown.parse(text)[1]] == [("", 0), ("One", text.encode().index(b"One")), ("One > Two", text.encode().index(b"Two"))]

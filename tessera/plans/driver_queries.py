@@ -93,7 +93,8 @@ def bm25_indexed(spark, sf):
     kept = F.filter("tokens", lambda t: t.isin(terms))
     held = bm25.tokenized(_spread(_docs(spark, sf).select("chunk_id", "text"))).select("chunk_id", F.size("tokens").alias("dl"), kept.alias("tokens")).persist()
     try:
-        posted = bm25.postings(held.filter(F.size("tokens") > 0)).join(held.select("chunk_id", "dl"), "chunk_id").withColumn("doc_id", F.col("chunk_id"))
+        posted = held.select("chunk_id", F.col("chunk_id").alias("doc_id"), "dl", F.explode("tokens").alias("term"))
+        posted = posted.groupBy("chunk_id", "doc_id", "dl", "term").agg(F.count(F.lit(1)).cast("int").alias("tf"))
         nd, avgdl = held.agg(F.count(F.lit(1)), F.avg("dl")).first()
         blocks = bm25.blocked(posted).persist()
         n_t = {r["term"]: r["n"] for r in blocks.groupBy("term").agg(F.sum("n").alias("n")).collect()}
@@ -118,6 +119,15 @@ def knn_active_join(spark, sf):
     return near.select("chunk_id", "distance").join(live, "chunk_id")
 
 
+def knn_many(spark, sf):
+    """The five nearest of every hundredth vector, itself left out, by clusters."""
+    rows = _vectors(spark, sf).select("chunk_id", "vector")
+    queries = rows.filter("chunk_id % 100 = 0").select(F.col("chunk_id").alias("query_id"), "vector")
+    found = knn.search_many(knn.clustered(rows), queries, 6).hits.filter("chunk_id <> query_id")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))
+    return found.withColumn("rank", rank.cast("long")).filter("rank <= 5").select("query_id", "chunk_id", "distance", "rank")
+
+
 def cosine_zero_norm(spark, sf):
     v = _vectors(spark, sf)
     other = F.when(F.col("chunk_id") % 3 == 0, F.transform("vector", lambda x: x * 0)).when(F.col("chunk_id") % 3 == 1, F.slice("vector", 1, 3)).otherwise(F.col("vector"))
@@ -205,13 +215,13 @@ def get_by_prefix(spark, sf):
 
 
 def collection_stats(spark, sf):
-    """A chunk's vector is its document's."""
-    docs = _docs(spark, sf).select(F.col("chunk_id").alias("id"), "collection", "active")
+    """A chunk's vector is its document's. A blank document has no chunk, and its vector all the same, so it stands in for one and is taken off again."""
+    docs = _docs(spark, sf)
     made = _chunks(spark, sf, 512).select("doc_id", F.when(F.col("seq") == 0, F.col("doc_id")).alias("id"))
-    # a document without chunks has its vector all the same
-    bare = docs.join(made.filter("id IS NOT NULL").select("id"), "id", "left_anti").select(F.col("id").alias("doc_id"), "id")
-    n_bare = bare.join(docs.filter("active"), "id").groupBy("collection").agg(F.count(F.lit(1)).alias("bare"))
-    out = catalog.counts(docs, made.unionByName(bare), _vectors(spark, sf).select("chunk_id").distinct())
+    bare = docs.filter(F.size(chunking.whole_text_sections(F.col("text"))) == 0)
+    n_bare = bare.filter("active").groupBy("collection").agg(F.count(F.lit(1)).alias("bare"))
+    rows = made.unionByName(bare.select(F.col("chunk_id").alias("doc_id"), F.col("chunk_id").alias("id")))
+    out = catalog.counts(docs.select(F.col("chunk_id").alias("id"), "collection", "active"), rows, _vectors(spark, sf).select("chunk_id").distinct())
     return out.join(n_bare, "collection", "left").withColumn("chunks", F.col("chunks") - F.coalesce("bare", F.lit(0))).drop("bare")
 
 
@@ -340,6 +350,9 @@ SQL = {
     "knn_topk": f"SELECT chunk_id, distance, round(1 / (1 + distance), 9) AS score FROM ({_NEAR}) ORDER BY distance, chunk_id LIMIT 10",
     "knn_collection": f"SELECT chunk_id, distance FROM ({_NEAR}) WHERE label = 1 ORDER BY distance, chunk_id LIMIT 10",
     "knn_active_join": f"SELECT n.chunk_id, distance, collection, path FROM ({_NEAR}) n JOIN ({_D}) d ON n.chunk_id = d.chunk_id WHERE active ORDER BY distance, n.chunk_id LIMIT 10",
+    "knn_many": """SELECT a.vec_id AS query_id, b.vec_id AS chunk_id, round(1 - list_cosine_similarity(b.embedding::DOUBLE[], a.embedding::DOUBLE[]), 9) AS distance,
+      row_number() OVER (PARTITION BY a.vec_id ORDER BY round(1 - list_cosine_similarity(b.embedding::DOUBLE[], a.embedding::DOUBLE[]), 9), b.vec_id) AS rank
+      FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0 QUALIFY rank <= 5""",
     "cosine_zero_norm": "SELECT vec_id AS chunk_id, CASE WHEN vec_id % 3 < 2 THEN 2.0::DOUBLE ELSE round(1 - list_cosine_similarity(embedding::DOUBLE[], embedding::DOUBLE[]), 9) END AS distance FROM embeddings",
     "rrf_fuse": f"WITH {_FUSED} SELECT chunk_id, rrf_score, bm25_rank, vector_rank FROM f",
     "hybrid_topk": f"WITH {_FUSED} SELECT f.chunk_id, d.source AS collection, d.doc_id || '.txt' AS path, rrf_score FROM f LEFT JOIN documents d ON d.doc_id = f.chunk_id ORDER BY rrf_score DESC, f.chunk_id LIMIT 10",

@@ -93,3 +93,34 @@ def test_slug_column(spark):
     paths = ["/a/My Docs/", "x", "///", "", "Ünï-code", "a/b_c.d", "--"]
     df = spark.createDataFrame([(p,) for p in paths], "p string")
     assert {r["p"]: r["s"] for r in df.select("p", X.slug_column(F.col("p")).alias("s")).collect()} == {p: X.slug(p) for p in paths}
+
+
+def test_neighbours_of_many_equal_scans(spark, monkeypatch):
+    """Clusters skip, and lose nothing: ties, copies, zero vectors, other lengths and nulls included."""
+    import numpy as np
+
+    from tessera.operators import knn
+
+    monkeypatch.setattr(knn, "CELL", 50)  # large clusters are several cells, and queries several blocks
+    monkeypatch.setattr(knn, "QUERIES", 4)
+    g = np.random.default_rng(2)
+    centres = g.normal(size=(12, 8))
+    rows = [(i, [float(x) for x in np.float32(centres[i % 12] + g.normal(size=8) * 0.15)]) for i in range(900)]
+    rows += [(900 + i, rows[i * 7][1]) for i in range(60)] + [(1000, [0.0] * 8), (1001, [1.0]), (1002, None), (1003, []), (1004, [2 * x for x in rows[3][1]])]
+    vectors = spark.createDataFrame(rows, "chunk_id long, vector array<float>").repartition(3)
+    asked = {0: rows[0][1], 1: rows[77][1], 2: [0.0] * 8, 3: [-x for x in rows[5][1]], 4: [1.0] * 8, 5: [1.0, 2.0]}
+    queries = spark.createDataFrame(list(asked.items()), "query_id long, vector array<float>")
+    for k in (1, 7, 2000):
+        found = knn.search_many(knn.clustered(vectors, 30), queries, k)
+        got = {}
+        for r in found.hits.orderBy("query_id", "rank").collect():
+            got.setdefault(r["query_id"], []).append((r["chunk_id"], r["distance"]))
+        for q, v in asked.items():
+            if q == 5:
+                continue  # of another length: all are as far, and those of its own length are not looked for
+            want = [(r["chunk_id"], r["distance"]) for r in knn.search(vectors, v, k).orderBy("rank").collect()]
+            assert got[q] == want, (k, q)
+        assert found.scored <= found.opened <= found.pairs
+        if k < 10:
+            assert found.scored < found.pairs / 2
+    assert knn.search_many(knn.clustered(vectors.limit(0)), queries, 3).hits.count() == 0

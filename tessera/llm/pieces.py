@@ -157,8 +157,9 @@ def words_of(text: str | None) -> list[str]:
     """The text between single spaces, as the library sees it: each word stands for a space (the one that encoding adds, for the first) and itself. Further spaces are part of the word after them."""
     if not text:
         return []
-    words = text.replace(SPACE, " ").split(" ")
-    if "" not in words:
+    text = text.replace(SPACE, " ")
+    words = text.split(" ")
+    if "  " not in text and text[0] != " " and text[-1] != " ":
         return words
     out, spaces = [], 0
     for w in words:

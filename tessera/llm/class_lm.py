@@ -20,7 +20,7 @@ their order.
 
 Defined results. Null text is empty text: one token, the end. A null id counts as the text ``null``. Without training
 documents every count is zero and the model's score is the base's. Repeated rows count, and score, as often as they
-occur. Empty tables give empty results. Other columns of the input are not carried.
+occur. A text of any length is scored whole. Empty tables give empty results. Other columns of the input are not carried.
 """
 
 from __future__ import annotations

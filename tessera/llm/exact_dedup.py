@@ -8,7 +8,7 @@ Among the possible ones SHA-256 decides, so the filter's false positives cost a
 
 Defined results. Null text is empty text; empty texts are copies of one another. A null id sorts below every id. Rows
 that repeat an id and its text count as copies: all of them read ``kept`` in :func:`annotate`, and :func:`dedup` leaves
-one. An empty table gives an empty result. Columns of the input that are named like a digest column give way to it in
+one. A text of any length is hashed whole. An empty table gives an empty result. Columns of the input that are named like a digest column give way to it in
 :func:`annotate`; :func:`dedup` returns the input's columns as they are.
 """
 

@@ -12,7 +12,7 @@ itself.
 Defined results. Null text is empty text: one empty line. A null id sorts after every id. Lines end at line feeds only; the
 rest of a text, line feeds before and after removed chunks included, stays as it is when no chunk is removed, and is the
 remaining lines joined by line feeds otherwise. Rows that repeat an id and a text count as one occurrence at each place.
-Empty tables give empty results. :func:`dedup_lines` keeps the input's columns, with the text replaced.
+A text of any length is one row with an array of its lines. Empty tables give empty results. :func:`dedup_lines` keeps the input's columns, with the text replaced.
 """
 
 from __future__ import annotations

@@ -17,7 +17,7 @@ Windows run over sources (one row each), over the blocks of a source, and over t
 
 Defined results. Null text is empty text, of size 0; a source of size 0 has target 0 and nothing is taken from it. A null
 source is a source of its own, the last in order. Null ids permute as the text ``null``; rows that repeat an id permute
-next to each other, smaller sizes first, and each counts. Empty tables give empty results. Other columns pass through;
+next to each other, smaller sizes first, and each counts. A text of any length counts all its words, and is never cut. Empty tables give empty results. Other columns pass through;
 :func:`mix` adds ``mix_shard``, ``mix_copy`` and ``mix_order`` in place of columns so named.
 """
 

@@ -9,7 +9,7 @@ Base spans always stay, with their class; of the added kind only owner-specific
 In a table of documents ``source`` is the owner, and a source's documents of one language are a repository of it.
 
 Defined results. Null text is empty text. A null owner, and a null repository, is one of its own. Repeated rows repeat
-their result; a value that one owner repeats stays owner-specific. Spans are in code points, end exclusive. Empty tables
+their result; a value that one owner repeats stays owner-specific. Spans are in code points, end exclusive. A text of any length is scanned whole. Empty tables
 give empty results. :func:`scan` returns the id and what is added; other columns of the input are not carried.
 """
 

@@ -17,7 +17,7 @@ memory; near copies of one text fill at most a ball of a few bits' radius (43,74
 
 Defined results. Null text is empty text; a text without words has fingerprint zero and links like any other. A text of
 fewer than four words has one shingle, the whole sequence. A null id never is a component's id unless all are null.
-Repeated rows share a component. Empty tables give empty results. :func:`near_dedup` keeps the input's columns, and the
+Repeated rows share a component. A text of any length is read whole, in one row's memory. Empty tables give empty results. :func:`near_dedup` keeps the input's columns, and the
 row whose id is its component's smallest (all rows of that id, if it repeats; and rows with a null id).
 """
 

@@ -19,7 +19,7 @@ The removed intervals of a document are gathered (one group is one document) and
 
 Defined results. Null text is empty text. Texts of under 100 bytes lose nothing. A null id sorts after every id. Rows that
 repeat an id and a text are one document, and each of them gets its result; rows that repeat an id with another text are
-ordered by a hash of the text. Empty tables give empty results. A cut may fall inside a character: :func:`dedup_spans`
+ordered by a hash of the text. A text of any length is searched whole, by one task as far as its pieces. Empty tables give empty results. A cut may fall inside a character: :func:`dedup_spans`
 drops the broken rest of it in its text. It keeps the input's columns, with the text replaced.
 """
 

@@ -387,6 +387,21 @@ class _Codes(dict):
         return out
 
 
+_kept: list = []
+
+
+def _codes_for(shared) -> _Codes:
+    """The codes of a broadcast dictionary, made once in a worker: its tasks go on with them, and with the words that they have met."""
+    if not _kept or _kept[0] is not shared:
+        _kept.clear()
+        _kept[:] = [shared, _Codes(*shared.value)]
+    return _kept[1]
+
+
+def _forget_codes() -> None:
+    _kept.clear()
+
+
 def _packed(codes: list[bytes]) -> bytes:
     """zstandard of the codes' first bytes, second bytes and so on."""
     return zstandard.ZstdCompressor(level=1).compress(np.frombuffer(b"".join(codes), np.uint8).reshape(-1, 4).T.tobytes())
@@ -414,8 +429,7 @@ def encode(df: DataFrame, text_col: str = "text", out_col: str = "ids", model: M
     row_type = base.schema["row"].dataType.simpleString()
 
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units, cut = shared.value
-        look = _Codes(units, cut)
+        look = _codes_for(shared)
         numbers = C.bucket_numbers(TaskContext.get().partitionId(), buckets)
         for batch in batches:
             texts, rows, at = batch.column(0), batch.column(1), 0
@@ -441,6 +455,7 @@ def encode(df: DataFrame, text_col: str = "text", out_col: str = "ids", model: M
     lists = spark.sparkContext.broadcast((words.ids, words.starts, model.text_of if decoded_col else None))
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _forget_codes()
         flat, starts, text_of = lists.value
         texts = _Texts(text_of) if text_of else None
         for batch in batches:

@@ -59,7 +59,7 @@ def test_any_changes_equal_a_rebuild(spark, tmp_path, monkeypatch):
     r, root = random.Random(4), tmp_path / "files"
     root.mkdir()
     store, col = Store(spark, f"file://{tmp_path}/cat"), Collection("c", str(root))
-    for step in range(4):
+    for step in range(3):
         for i in range(6):
             at = root / f"{i}.md"
             if r.random() < 0.5:

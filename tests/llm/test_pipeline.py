@@ -38,3 +38,24 @@ def test_stages_against_plain_python(spark):
 def test_registry():
     assert [int(n[2:].split("_")[0]) for n in registry.queries()] == list(range(1, 14))
     assert set(registry.oracle_sql()) <= set(registry.queries()) and simhash.MOST == 4
+
+
+def through(spark, docs, sf):
+    out = [docs]
+    for name, stage in corpus_pipeline.STAGES:
+        out.append(exact_dedup.C.written(stage(spark, out[-1], sf), name.replace(" ", "_")))
+    return out
+
+
+def test_stages_on_edge_rows(spark, edge, none, tmp_path):
+    """Nulls in any column, empty and long texts, repeated rows and other columns go through; empty tables give empty results."""
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    extra = edge.selectExpr("*", "'own' AS ids", "'own' AS component_id", "'own' AS mix_copy_of")
+    stages = through(spark, extra, str(tmp_path))
+    assert all(s.columns == extra.columns for s in stages[:-1]) and stages[1].count() == edge.count()
+    texts = [r["text"] or "" for r in stages[2].collect()]
+    assert sorted(texts) == sorted({r["text"] or "" for r in edge.collect()})  # without labels nothing is toxic, and each text stays once
+    last = stages[-1].collect()
+    assert all(r["round_trip"] for r in last) and {r["doc_id"] for r in last} <= {r["doc_id"] for r in stages[3].collect()}
+    assert all(r["component_id"] == "own" for r in last)
+    assert [s.count() for s in through(spark, none, str(tmp_path))] == [0] * 6

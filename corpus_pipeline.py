@@ -2,6 +2,11 @@
 
 Toxic documents go; of equal texts one stays; of near copies one document of each group stays; sources are mixed to their
 target weights (a document that the mix takes twice has two rows); texts become token ids, and are decoded again.
+
+Defined results. Each stage is an operator of :mod:`tessera.llm`, with its results for nulls, empty and long texts, ties and
+repeated rows; without labels no document is toxic, and an empty table stays empty. Other columns go along to the end, but
+for ``text`` and for names that the last stage gives (``ids``, ``n_tokens``, ``round_trip``); names that begin with two
+underscores are the stages' own.
 """
 
 from __future__ import annotations

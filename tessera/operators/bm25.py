@@ -21,8 +21,8 @@ K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 TOP_K = 10
 #: Bits of a chunk id inside a block of postings.
 BLOCK_BITS = 7
-#: Blocks whose scores set the threshold, for each row that is wanted; blocks that a scan may be asked for by name.
-FIRST_BLOCKS, NAMED_BLOCKS = 4, 4096
+#: Blocks whose scores set the threshold, for each row that is wanted; blocks that a scan may be asked for by name; ranges of ids that are all opened, since it takes fewer jobs.
+FIRST_BLOCKS, NAMED_BLOCKS, SMALL = 4, 4096, 256
 
 
 @dataclass
@@ -158,25 +158,28 @@ def search_blocks(index: DataFrame, of: Stats, terms: list[str], k: int = TOP_K,
     of_term = F.create_map(*[F.lit(x) for pair in weight.items() for x in pair])[F.col("term")]
     bounds = mine.groupBy("block", "term").agg(F.max(part(of_term, F.col("max_tf"), F.col("min_dl"), F.lit(of.avgdl))).alias("most"))
     bounds = bounds.groupBy("block").agg(F.sum("most").alias("most"), F.count(F.lit(1)).alias("terms")).filter(F.col("terms") == len(times)).select("block", "most").persist()
+
+    def scores(blocks: DataFrame) -> DataFrame:
+        rows = opened(blocks)
+        rows = live(rows) if live else rows
+        per_term = F.lit(0.0)
+        for t, n in times.items():
+            own = F.max(F.when(F.col("term") == t, F.col("tf")))
+            per_term = per_term + n * part(idf(F.lit(of.nd), F.lit(of.n_t[t])), own, F.first("dl"), F.lit(of.avgdl))
+        met = rows.groupBy("chunk_id").agg(F.count(F.lit(1)).alias("n"), F.round(per_term, 9).alias("score"))
+        return top(met.filter(F.col("n") == len(times)).drop("n"), k).select("chunk_id", "score", "rank")
+
     try:
         total = bounds.count()
+        if total <= SMALL:
+            return Found(spark.createDataFrame(scores(mine).collect(), nothing.hits.schema), total, total)
         first = [r["block"] for r in bounds.orderBy(F.desc("most"), "block").limit(FIRST_BLOCKS * k).collect()]
 
-        def scores(blocks: DataFrame) -> DataFrame:
-            rows = opened(blocks)
-            rows = live(rows) if live else rows
-            per_term = F.lit(0.0)
-            for t, n in times.items():
-                own = F.max(F.when(F.col("term") == t, F.col("tf")))
-                per_term = per_term + n * part(idf(F.lit(of.nd), F.lit(of.n_t[t])), own, F.first("dl"), F.lit(of.avgdl))
-            met = rows.groupBy("chunk_id").agg(F.count(F.lit(1)).alias("n"), F.round(per_term, 9).alias("score"))
-            return top(met.filter(F.col("n") == len(times)).drop("n"), k).select("chunk_id", "score", "rank")
-
         best = scores(mine.filter(F.col("block").isin(first))).collect() if first else []
         known = spark.createDataFrame(best, "chunk_id bigint, score double, rank int")
         # a bound and a score may differ in their last bits
         rest = bounds.filter(~F.col("block").isin(first)) if first else bounds
-        rest = rest.filter(F.col("most") >= best[-1]["score"] - 1e-6) if len(best) == k else rest
+        rest = rest.filter(F.col("most") >= min(r["score"] for r in best) - 1e-6) if len(best) == k else rest
         n = rest.count()
         if not n:
             return Found(known, total, len(first))

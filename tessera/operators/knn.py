@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import vectors as V
 
 TOP_K = 10
-#: Centres, at most (a sample by hash of the id, which the driver holds); rows of a cell of a cluster, and queries of a block, on average.
+#: Centres: the root of the number of vectors, or so many (a sample by hash of the id, which the driver holds); rows of a cell of a cluster, and queries of a block, on average.
 CENTRES, CELL, QUERIES = 256, 1 << 15, 1 << 12
 #: What two ways of adding up a distance may differ by, and so does a rounded one.
 SLACK = 1e-8
@@ -73,6 +74,7 @@ def clustered(vectors: DataFrame, centres: int = CENTRES) -> Clusters:
     proper = (F.size("vector") == dims) & (V.norm(F.col("vector")) > 0) if dims else F.lit(False)
     proper = F.coalesce(proper & ~F.exists("vector", lambda x: x.isNull() | F.isnan(x)), F.lit(False))
     flagged = vectors.select("chunk_id", "vector", proper.alias("proper"))
+    centres = min(centres, max(1, math.isqrt(vectors.count())))
     picked = flagged.filter("proper").orderBy(F.xxhash64("chunk_id", "vector")).limit(centres).select("vector").collect()
     chosen = _units([np.array(r["vector"]) for r in picked], dims) if picked else np.zeros((0, dims))
 

@@ -94,11 +94,9 @@ def bm25_indexed(spark, sf):
     held = bm25.tokenized(_spread(_docs(spark, sf).select("chunk_id", "text"))).select("chunk_id", F.size("tokens").alias("dl"), kept.alias("tokens")).persist()
     try:
         posted = held.select("chunk_id", F.col("chunk_id").alias("doc_id"), "dl", F.explode("tokens").alias("term"))
-        posted = posted.groupBy("chunk_id", "doc_id", "dl", "term").agg(F.count(F.lit(1)).cast("int").alias("tf"))
-        nd, avgdl = held.agg(F.count(F.lit(1)), F.avg("dl")).first()
-        blocks = bm25.blocked(posted).persist()
-        n_t = {r["term"]: r["n"] for r in blocks.groupBy("term").agg(F.sum("n").alias("n")).collect()}
-        found = bm25.search_blocks(blocks, bm25.Stats(nd, avgdl, n_t), terms).hits.select("chunk_id", "score")
+        blocks = bm25.blocked(posted.groupBy("chunk_id", "doc_id", "dl", "term").agg(F.count(F.lit(1)).cast("int").alias("tf"))).persist()
+        nd, avgdl, *n_t = held.agg(F.count(F.lit(1)), F.avg("dl"), *[F.count_if(F.array_contains("tokens", t)) for t in terms]).first()
+        found = bm25.search_blocks(blocks, bm25.Stats(nd, avgdl, dict(zip(terms, n_t))), terms).hits.select("chunk_id", "score")
         blocks.unpersist()
         return found
     finally:

@@ -222,7 +222,8 @@ def test_embedding_goes_on_after_a_failure(spark, tmp_path, monkeypatch):
 
 
 @pytest.mark.parametrize("k", [1, 3, 10])
-def test_blocks_rank_as_all_postings_do(spark, k):
+def test_blocks_rank_as_all_postings_do(spark, k, monkeypatch):
+    monkeypatch.setattr(bm25, "SMALL", 0)
     r = random.Random(k)
     docs = []
     for i in range(3000):
@@ -246,10 +247,10 @@ def test_blocks_rank_as_all_postings_do(spark, k):
 
 def test_blocks_are_skipped(spark):
     """One range of ids scores far above the others: the rest stay closed."""
-    n = 128 * 60
+    n = 128 * 300
     rows_ = spark.range(n).select(F.lit("t").alias("term"), F.col("id").alias("chunk_id"), F.col("id").alias("doc_id"), F.when((F.col("id") >= 1280) & (F.col("id") < 1408), 20).otherwise(1).alias("tf"), F.lit(40).alias("dl"))
     found = bm25.search_blocks(bm25.blocked(rows_), bm25.Stats(3 * n, 40.0, {"t": n}), ["t"], 10)
-    assert found.blocks == 60 and found.opened <= 40 + 1 and [r["chunk_id"] for r in found.hits.orderBy("rank").collect()] == list(range(1280, 1290))
+    assert found.blocks == 300 and found.opened <= 40 + 1 and [r["chunk_id"] for r in found.hits.orderBy("rank").collect()] == list(range(1280, 1290))
     few = bm25.search_blocks(bm25.blocked(rows_), bm25.Stats(3 * n, 40.0, {"t": n}), ["t"], 2)
     assert few.opened == 8
 
